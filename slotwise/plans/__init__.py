@@ -1,7 +1,7 @@
 """Registered queries, each with the SQL it is checked against where SQL can say it."""
 from importlib import import_module
 
-FAMILIES = ["q_grid"]
+FAMILIES = ["q_grid", "q_sources", "q_filters"]
 
 
 def load():

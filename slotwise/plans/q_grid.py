@@ -166,12 +166,12 @@ def res3(t):
     """WITH e AS (SELECT min(date_trunc('hour', timestamp)) a, max(date_trunc('hour', timestamp)) b FROM v_weather), h AS (SELECT date_trunc('hour', timestamp) AS timestamp, avg(rain) AS rain FROM v_weather GROUP BY 1),
     hh AS (SELECT * FROM h WHERE rain IS NOT NULL),
     s AS (SELECT unnest(generate_series(a, b, INTERVAL 5 MINUTE)) AS timestamp FROM e)
-    SELECT s.timestamp, round(hh.rain / 12, 8) AS rain_mm, round(hh.rain, 8) AS rain_mm_per_hour FROM s ASOF LEFT JOIN hh ON s.timestamp >= hh.timestamp""",
+    SELECT s.timestamp, round(hh.rain, 8) AS rain_mm_per_hour FROM s ASOF LEFT JOIN hh ON s.timestamp >= hh.timestamp""",
 )
 def res4(t):
     h = grid.resample_agg(t.weather, [], "timestamp", 60, ["rain"], [])
     d = grid.resample_ffill(h, [], "timestamp", ["rain"], 5)
-    return d.select("timestamp", R(F.col("rain") / 12).alias("rain_mm"), R("rain").alias("rain_mm_per_hour"))
+    return d.select("timestamp", R("rain").alias("rain_mm_per_hour"))
 
 
 @query(

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -34,6 +36,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "slo
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder for intermediate tables, below the one the cluster names for checkpoints."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="slotwise-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
