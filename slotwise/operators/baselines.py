@@ -172,10 +172,10 @@ def nearest_in_time(
         key, us(ts).alias("_us"), F.weekday(ts).alias("_wd"), "_hv", F.lit(None).cast("timestamp_ntz").alias(target)
     ).withColumn("_blk", F.explode(F.array(*[F.floor(F.col("_us") / size) + i for i in (-1, 0, 1)])))
     t = targets.select(
-        key, us(target).alias("_us"), F.weekday(target).alias("_wd"), F.lit(None).cast("double").alias("_hv"), target,
+        key, us(target).alias("_us"), F.weekday(target).alias("_wd"), F.lit(None).cast(hist.schema[value].dataType).alias("_hv"), target,
         F.floor(us(target) / size).alias("_blk"),
     )
-    u = h.withColumn("_hv", F.col("_hv").cast("double")).unionByName(t)
+    u = h.unionByName(t)
     seen = F.when(F.col("_hv").isNotNull(), F.struct(F.col("_us").alias("u"), F.col("_hv").alias("v"), F.col("_wd").alias("w")))
     u = u.withColumn("_s", seen)
     anyday = Window.partitionBy(key, "_blk").orderBy("_us")

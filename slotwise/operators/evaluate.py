@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotwise.columns import as_list, attach
 from slotwise.functions.order_stats import exact_quantiles
+from slotwise.functions.stats import safe_corr
 
 
 def metric_columns(y: str, p: str) -> dict[str, Column]:
@@ -127,6 +128,6 @@ def forecast_summary(
         F.when(F.max_by(pred, ts) > F.min_by(pred, ts), "increasing").otherwise("decreasing").alias("trend"),
     ]
     if base and resid:
-        aggs.append(F.corr(base, resid).alias("component_corr"))
+        aggs.append(safe_corr(base, resid).alias("component_corr"))
     out = df.groupBy(key).agg(*aggs)
     return attach(out, exact_quantiles(df, key, pred, {"q25": 0.25, "median": 0.5, "q75": 0.75}), [key])
