@@ -85,16 +85,14 @@ def exact_quantiles(
     return out if keys else out.drop("_all")
 
 
-def average_rank(df: DataFrame, keys: str | Sequence[str], col: str, out: str, bins: int = 1024) -> DataFrame:
-    """Percentile rank with ties averaged: (mean rank of the value) / n, NULL for NULL.
+def rank_table(df: DataFrame, keys: str | Sequence[str], col: str, out: str, bins: int = 1024) -> DataFrame:
+    """Percentile rank of every distinct value per key, ties averaged: (mean rank) / n.
 
     Distinct values are counted first; cumulative counts run in two levels over value bins
     whose edges come from the exact minimum and maximum.
     """
-    keys = as_list(keys)
-    k = keys or ["_all"]
-    d = df if keys else df.withColumn("_all", F.lit(1))
-    vc = d.where(F.col(col).isNotNull()).groupBy(*k, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    k = as_list(keys)
+    vc = df.where(F.col(col).isNotNull()).groupBy(*k, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ext = vc.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
     vc = attach(vc, ext, k)
     pos = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins
@@ -105,6 +103,12 @@ def average_rank(df: DataFrame, keys: str | Sequence[str], col: str, out: str, b
     w1 = Window.partitionBy(*k, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     vc = attach(vc.withColumn("_before", F.coalesce(F.sum("_c").over(w1), F.lit(0))), offs, [*k, "_bin"])
     rank = F.col("_off") + F.col("_before") + (F.col("_c") + 1) / 2
-    ranks = vc.select(*k, F.col("_v").alias(col), (rank / F.col("_n")).alias(out))
-    res = attach(d, ranks, [*k, col])
-    return res if keys else res.drop("_all")
+    return vc.select(*k, F.col("_v").alias(col), (rank / F.col("_n")).alias(out))
+
+
+def average_rank(df: DataFrame, ranks: Sequence[tuple[Sequence[str], str, str]]) -> DataFrame:
+    """Several percentile ranks (keys, column, output), each built from ``df`` itself."""
+    d = df
+    for keys, col, out in ranks:
+        d = attach(d, rank_table(df, keys, col, out), [*keys, col])
+    return d

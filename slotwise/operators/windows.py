@@ -66,9 +66,7 @@ def attendance_score(df: DataFrame, keys: str | Sequence[str], ts: str, y: str,
     with the rank inside the hour where the hour has more than ten varied rows."""
     ks = as_list(keys)
     d = df.withColumn("_h", F.hour(ts)).withColumn("_lw", F.log1p(y)).withColumn("_lr", F.log1p(recent))
-    d = average_rank(d, ks, "_lw", "_p1")
-    d = average_rank(d, ks, "_lr", "_p2")
-    d = average_rank(d, [*ks, "_h"], y, "_p3")
+    d = average_rank(d, [(ks, "_lw", "_p1"), (ks, "_lr", "_p2"), ([*ks, "_h"], y, "_p3")])
     size = df.groupBy(*ks, F.hour(ts).alias("_h")).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(y).alias("_sd"))
     d = attach(d, size, [*ks, "_h"])
     blend = 0.7 * F.col("_p1") * 100 + 0.3 * F.col("_p2") * 100

@@ -114,10 +114,10 @@ def win11(t):
     return rounded(d.select(K, T, "yhat"), "yhat", n=7)
 
 
-@query("win12_trailing_48", "SELECT ride_name, timestamp, round(avg(wait_time) OVER (PARTITION BY ride_name ORDER BY timestamp ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), 7) AS ma FROM v_hsplit WHERE split='train'")
+@query("win12_trailing_48", "SELECT ride_name, timestamp, round(avg(wait_time) OVER (PARTITION BY ride_name ORDER BY timestamp ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), 9) AS ma FROM v_hsplit WHERE split='train'")
 def win12(t):
     d = windows.trailing_mean(t.hourly_split.where("split='train'"), K, T, W, 48, "ma")
-    return rounded(d.select(K, T, "ma"), "ma", n=7)
+    return rounded(d.select(K, T, "ma"), "ma", n=9)
 
 
 RESID = "SELECT ride_name, timestamp, wait_time, wait_time - avg(wait_time) OVER (PARTITION BY ride_name) AS residual, row_number() OVER (PARTITION BY ride_name ORDER BY timestamp) - 1 AS i FROM v_half"
@@ -200,9 +200,9 @@ def fea2(t):
     return rounded(rounded(d.select(K, T, W, "wait_time_unscaled"), "wait_time_unscaled"), W, n=6)
 
 
-@query("fea3_fixed_scaler", "SELECT timestamp, round((temperature-15)/8, 7) AS temperature, round((rain-0.15)/0.36, 7) AS rain FROM v_weather")
+@query("fea3_fixed_scaler", "SELECT timestamp, round((temperature-15)/8, 9) AS temperature, round((rain-0.15)/0.36, 9) AS rain FROM v_weather")
 def fea3(t):
-    return rounded(features.scale_fixed(t.weather).select(T, "temperature", "rain"), "temperature", "rain", n=7)
+    return rounded(features.scale_fixed(t.weather).select(T, "temperature", "rain"), "temperature", "rain", n=9)
 
 
 @query(
