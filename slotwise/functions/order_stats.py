@@ -35,7 +35,7 @@ def exact_quantiles(
     if keys:
         j = attach(d, sketch, k, "inner")
     else:
-        j = d.withColumn("_b", sketch.select("_b").scalar())
+        j = d.withColumn("_b", sketch.select("_b").scalar())  # one row, so no join
     targets = F.array(
         *[
             F.struct(
@@ -85,6 +85,25 @@ def exact_quantiles(
     return out if keys else out.drop("_all")
 
 
+def exact_quantiles_of(
+    df: DataFrame, keys: str | Sequence[str], cols: dict[str, dict[str, float]]
+) -> DataFrame:
+    """Quantiles of several columns from one pass: column -> {output: probability}.
+
+    The columns become rows first; all must ask for the same probabilities.
+    """
+    keys = as_list(keys)
+    probs = {f"_p{i}": p for i, p in enumerate(next(iter(cols.values())).values())}
+    if any(list(q.values()) != list(probs.values()) for q in cols.values()):
+        raise ValueError("same probabilities needed for all columns")
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, list(cols), "_col", "_val")
+    q = exact_quantiles(long, [*keys, "_col"], "_val", probs)
+    outs = [
+        F.max(F.when(F.col("_col") == c, F.col(f"_p{i}"))).alias(o) for c, names in cols.items() for i, o in enumerate(names)
+    ]
+    return q.groupBy(*keys).agg(*outs)
+
+
 def rank_table(df: DataFrame, keys: str | Sequence[str], col: str, out: str, bins: int = 1024) -> DataFrame:
     """Percentile rank of every distinct value per key, ties averaged: (mean rank) / n.
 

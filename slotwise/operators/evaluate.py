@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.columns import as_list, attach
-from slotwise.functions.order_stats import exact_quantiles
+from slotwise.functions.order_stats import exact_quantiles, exact_quantiles_of
 from slotwise.functions.stats import safe_corr
 
 
@@ -95,10 +95,8 @@ def summarise(scores: DataFrame, by: str | Sequence[str], metrics: Sequence[str]
         *[F.round(F.avg(m), digits).alias(f"{m}_mean") for m in metrics],
         *[F.round(F.stddev_samp(m), digits).alias(f"{m}_std") for m in metrics],
     )
-    for m in metrics:
-        med = exact_quantiles(clean, by, m, {"_q": 0.5})
-        out = attach(out, med, by).withColumn(f"{m}_median", F.round("_q", digits)).drop("_q")
-    return out
+    med = exact_quantiles_of(clean, by, {m: {f"{m}_median": 0.5} for m in metrics})
+    return attach(out, med, by).withColumns({f"{m}_median": F.round(f"{m}_median", digits) for m in metrics})
 
 
 def compare_runs(before: DataFrame, after: DataFrame, on: Sequence[str], metric: str, suffixes=("_before", "_after")) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotwise.columns import as_list, attach
 from slotwise.functions.calendar import c
-from slotwise.functions.order_stats import exact_quantiles
+from slotwise.functions.order_stats import exact_quantiles, exact_quantiles_of
 
 
 def pivot(df: DataFrame, rows: dict[str, Column], column: str, values: Sequence[str], agg: Column, fill: object | None = None) -> DataFrame:
@@ -39,8 +39,8 @@ def fixed_width_bin(df: DataFrame, col: str, width: float, out: str) -> DataFram
     Edges run from the minimum while below the maximum, so the minimum itself and values
     above the last edge are NULL.
     """
-    ext = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    lo, hi = ext.select("lo").scalar(), ext.select("hi").scalar()
+    ext = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))).scalar()
+    lo, hi = ext["lo"], ext["hi"]
     last = F.ceil((hi - lo) / width) - 2
     b = F.ceil((F.col(col) - lo) / width) - 1
     return df.withColumn(out, F.when((b >= 0) & (b <= last), b).cast("int"))
@@ -57,12 +57,12 @@ def quantile_bins(means: DataFrame, col: str, n: int, out: str, prefix: str = "B
     """Label of the quantile bin, right-closed, the lowest value included."""
     probs = {f"_e{i}": i / n for i in range(n + 1)}
     e = exact_quantiles(means, [], col, probs)
-    d = means.withColumns({k: e.select(k).scalar() for k in probs})
+    d = means.withColumn("_edges", e.select(F.struct(*probs)).scalar())
     label = None
     for i in range(n):
-        cond = F.col(col) <= F.col(f"_e{i + 1}")
+        cond = F.col(col) <= F.col("_edges")[f"_e{i + 1}"]
         label = F.when(cond, f"{prefix}{i + 1}") if label is None else label.when(cond, f"{prefix}{i + 1}")
-    return d.withColumn(out, label).drop(*probs)
+    return d.withColumn(out, label).drop("_edges")
 
 
 def nested_sum(df: DataFrame, ts: str, col: str) -> DataFrame:
@@ -83,28 +83,33 @@ def attendance_metrics(df: DataFrame, key: str, ts: str, y: str, peak=(11, 15),
         F.avg("_pk").alias("peak_avg_wait"), F.max("_pk").alias("peak_max_wait"),
         F.avg("_tp").alias("top_rides_avg_wait"), F.max("_tp").alias("top_rides_max_wait"),
     )
-    for col, out in ((y, "daily_median_wait"), ("_pk", "peak_median_wait"), ("_tp", "top_rides_median_wait")):
-        a = attach(a, exact_quantiles(d, "date", col, {out: 0.5}), ["date"])
-    return a
+    med = exact_quantiles_of(
+        d, "date", {y: {"daily_median_wait": 0.5}, "_pk": {"peak_median_wait": 0.5}, "_tp": {"top_rides_median_wait": 0.5}}
+    )
+    return attach(a, med, ["date"])
 
 
 def attendance_index(metrics: DataFrame, busiest: Sequence[str] = ()) -> DataFrame:
     """Mean of three daily metrics relative to a reference level, each capped at 100.
 
     The level is the median of the listed busiest days present, else the 95th percentile.
+    ``metrics`` is read several times: hand in a stored or checkpointed table.
     """
     cols = ["daily_total_wait", "daily_avg_wait", "daily_median_wait"]
-    d = metrics
-    listed = metrics.where(F.to_date("date").isin([F.lit(x).cast("date") for x in busiest])) if busiest else None
-    parts = []
+    def levels(df: DataFrame, p: float) -> Column:
+        """One row of reference levels as a struct."""
+        return exact_quantiles_of(df, [], {x: {x: p} for x in cols}).select(F.struct(*cols).alias("l")).scalar()
+
+    d, parts = metrics.withColumn("_l", levels(metrics, 0.95)), []
+    if busiest:
+        at = F.to_date("date").isin([F.lit(x).cast("date") for x in busiest])
+        d = d.withColumn("_b", levels(metrics.where(at), 0.5))
     for x in cols:
-        level = exact_quantiles(metrics, [], x, {"_l": 0.95}).select("_l").scalar()
-        if listed is not None:
-            level = F.coalesce(exact_quantiles(listed, [], x, {"_l": 0.5}).select("_l").scalar(), level)
+        level = F.coalesce(F.col("_b")[x], F.col("_l")[x]) if busiest else F.col("_l")[x]
         name = "attendance_index_" + x.split("_")[1]
         d = d.withColumn(name, F.least(F.try_divide(F.col(x), level) * 100, F.lit(100.0)))
         parts.append(F.col(name))
-    return d.withColumn("attendance_index", (parts[0] + parts[1] + parts[2]) / 3)
+    return d.withColumn("attendance_index", (parts[0] + parts[1] + parts[2]) / 3).drop("_l", "_b")
 
 
 def loss_accounting(before: DataFrame, after: DataFrame) -> DataFrame:

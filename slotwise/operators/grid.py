@@ -23,9 +23,9 @@ def band(ts: str, lo: str, hi: str) -> Column:
 
 
 def date_bounds(df: DataFrame, ts: str) -> tuple[Column, Column]:
-    """First and last date of a frame as scalar subqueries (one row, no driver round trip)."""
-    b = df.agg(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))
-    return b.select("lo").scalar(), b.select("hi").scalar()
+    """First and last date of a frame as a scalar subquery (one row, no driver round trip)."""
+    b = df.agg(F.struct(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))).scalar()
+    return b["lo"], b["hi"]
 
 
 def date_spine(one: DataFrame, lo: Column, hi: Column, out: str = "date") -> DataFrame:

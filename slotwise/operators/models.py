@@ -1,10 +1,20 @@
-"""Learned models."""
+"""Learned models: ridge and seasonal regression per key, boosted trees over all keys."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotwise.columns import attach
+from slotwise.columns import as_list, attach
+from slotwise.functions import calendar as cal
+from slotwise.operators.split import expanding_folds
 
 
 def residual(df: DataFrame, y: str, pred: str, out: str = "residual") -> DataFrame:
@@ -18,3 +28,219 @@ def interval(df: DataFrame, train: DataFrame, key: str, y: str, pred: str, z: fl
     return d.withColumns(
         {f"{pred}_lower": F.greatest(F.col(pred) - z * F.col("_s"), F.lit(0.0)), f"{pred}_upper": F.col(pred) + z * F.col("_s")}
     ).drop("_s")
+
+
+# ridge by normal equations ---------------------------------------------------------
+_FLUSH = 128  # keys held per task before their sums are passed on
+
+
+def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Per key the flattened matrix of sums of products of (1, x, y).
+
+    Each task sums its own rows with numpy, so one row per key and task is shuffled, then the
+    elements are added up. A hot key is spread over all tasks that hold it.
+    """
+    keys = list(keys)
+    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("_g", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([*acc], columns=keys)
+            out["_g"] = [g.ravel() for g in acc.values()]
+            return out
+
+        for pdf in batches:
+            m = np.column_stack([np.ones(len(pdf)), np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy()])
+            for k, idx in pdf.groupby(keys, dropna=False).indices.items():
+                k = k if isinstance(k, tuple) else (k,)
+                part = m[idx]
+                acc[k] = acc.get(k, 0.0) + part.T @ part
+            if len(acc) > _FLUSH:
+                yield rows()
+                acc.clear()
+        if acc:
+            yield rows()
+
+    cells = d.mapInPandas(partial, schema).select(*keys, F.posexplode("_g").alias("_i", "_v"))
+    sums = cells.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_v")))
+    return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_v"]).alias("gram"))
+
+
+@F.pandas_udf("array<double>")
+def _solve(g: pd.Series, alpha: pd.Series) -> pd.Series:
+    """(intercept, coefficients...) of ridge with a free intercept from the matrix of sums."""
+    def one(flat, a):
+        p = int(round(np.sqrt(len(flat))))
+        m = np.asarray(flat).reshape(p, p)
+        n, sx, sy = m[0, 0], m[0, 1:-1], m[0, -1]
+        sxx = m[1:-1, 1:-1] - np.outer(sx, sx) / n + a * np.eye(p - 2)
+        w = np.linalg.lstsq(sxx, m[1:-1, -1] - sx * sy / n, rcond=None)[0]
+        return np.concatenate([[(sy - sx @ w) / n], w])
+
+    return pd.Series([one(f, a) for f, a in zip(g, alpha)])
+
+
+def ridge_solve(grams: DataFrame, alpha: Column) -> DataFrame:
+    return grams.withColumn("coef", _solve("gram", alpha)).drop("gram")
+
+
+def ridge_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float = 1.0) -> DataFrame:
+    """Ridge per key on an array column; RSS + alpha * sum of squared coefficients."""
+    return ridge_solve(gram(df, keys, x, y), F.lit(float(alpha)))
+
+
+def dot(coef: Column, x: Column) -> Column:
+    """Intercept plus the product of coefficients and features, inside the JVM."""
+    terms = F.zip_with(F.slice(coef, F.lit(2), F.greatest(F.size(coef) - 1, F.lit(0))), x, lambda a, b: a * b)
+    return F.aggregate(terms, F.element_at(coef, 1), lambda s, v: s + v)
+
+
+def ridge_predict(df: DataFrame, model: DataFrame, keys: Sequence[str], x: str, out: str = "yhat") -> DataFrame:
+    d = attach(df, model.select(*keys, F.col("coef").alias("_coef")), keys)
+    return d.withColumn(out, dot(F.col("_coef"), F.col(x))).drop("_coef")
+
+
+def feature_array(cols: Sequence[str | Column]) -> Column:
+    return F.array(*[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0)) for c in cols])
+
+
+# seasonal regression ------------------------------------------------------------------
+def fourier(ts: str, yearly: int = 10, weekly: int = 3, daily: int = 4) -> dict[str, Column]:
+    """Sine and cosine terms of the year, week and day."""
+    days = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(86_400_000_000.0)
+    out: dict[str, Column] = {}
+    for name, period, order in (("yearly", 365.25, yearly), ("weekly", 7.0, weekly), ("daily", 1.0, daily)):
+        for k in range(1, order + 1):
+            s, c = cal.cyclic(days * k, period)
+            out[f"{name}_sin_{k}"], out[f"{name}_cos_{k}"] = s, c
+    return out
+
+
+class SeasonalModel:
+    """Trend with changes of slope, Fourier seasons, holidays and regressors; ridge per key.
+
+    ``multiplicative`` fits on log(1 + y). The band is ``z`` training residual deviations
+    wide, forecasts are not negative.
+    """
+
+    def __init__(
+        self, keys: Sequence[str], ts: str, y: str, regressors: Sequence[str] = (), changepoints: Sequence[str] = (),
+        orders: tuple[int, int, int] = (10, 3, 4), alpha: float = 1.0, multiplicative: bool = False, z: float = 1.96,
+    ):
+        self.keys, self.ts, self.y, self.regressors = list(keys), ts, y, list(regressors)
+        self.changepoints, self.orders, self.alpha, self.multiplicative, self.z = list(changepoints), orders, alpha, multiplicative, z
+        self.coef: DataFrame | None = None
+
+    def _x(self, df: DataFrame) -> DataFrame:
+        years = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(365.25 * 86_400_000_000.0) - 40.0
+        t = years(F.col(self.ts))
+        hinges = [F.greatest(t - years(F.lit(c).cast("timestamp_ntz")), F.lit(0.0)) for c in self.changepoints]
+        return df.withColumn("_x", feature_array([t, *hinges, *fourier(self.ts, *self.orders).values(), *self.regressors]))
+
+    def fit(self, train: DataFrame) -> SeasonalModel:
+        """Coefficients and residual deviation per key (one small table)."""
+        target = F.log1p(self.y) if self.multiplicative else F.col(self.y)
+        d = self._x(train).withColumn("_t", target)
+        coef = ridge_fit(d, self.keys, "_x", "_t", self.alpha)
+        fitted = ridge_predict(d, coef, self.keys, "_x", "_f")
+        sd = fitted.groupBy(*self.keys).agg(F.stddev_samp(F.col("_t") - F.col("_f")).alias("sigma"))
+        self.coef = attach(coef, sd, self.keys)
+        return self
+
+    def predict(self, future: DataFrame) -> DataFrame:
+        d = attach(self._x(future), self.coef.select(*self.keys, F.col("coef").alias("_c"), F.col("sigma").alias("_s")), self.keys)
+        f = dot(F.col("_c"), F.col("_x"))
+        back = (lambda e: F.expm1(e)) if self.multiplicative else (lambda e: e)
+        zero = F.lit(0.0)
+        return d.withColumns(
+            {
+                "yhat": F.greatest(back(f), zero), "yhat_lower": F.greatest(back(f - self.z * F.col("_s")), zero),
+                "yhat_upper": F.greatest(back(f + self.z * F.col("_s")), zero),
+            }
+        ).drop("_x", "_c", "_s")
+
+
+# boosted trees -----------------------------------------------------------------------
+class BoostedModel:
+    """One gradient-boosted model over all keys.
+
+    The key enters through its training mean and deviation, so any number of keys fits and
+    no per-key loop is needed.
+    """
+
+    def __init__(self, key: str, y: str, features: Sequence[str], trees: int = 100, depth: int = 4, rate: float = 0.1, leaf: int = 5, seed: int = 42):
+        self.key, self.y, self.features = key, y, list(features)
+        self.params = dict(maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, seed=seed)
+        self.model: GBTRegressionModel | None = None
+        self.stats: DataFrame | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        return ["key_mean", "key_std", *self.features]
+
+    def _assemble(self, df: DataFrame) -> DataFrame:
+        d = attach(df, self.stats, [self.key]).fillna(0.0, subset=["key_mean", "key_std"])
+        va = VectorAssembler(inputCols=self.inputs, outputCol="_v", handleInvalid="skip")
+        return va.transform(d)
+
+    def fit(self, train: DataFrame) -> BoostedModel:
+        d = train.where(F.col(self.y).isNotNull())
+        self.stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
+        self.model = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params).fit(self._assemble(d))
+        return self
+
+    def predict(self, df: DataFrame, out: str = "yhat") -> DataFrame:
+        return self.model.transform(self._assemble(df)).withColumnRenamed("_p", out).drop("_v", "key_mean", "key_std")
+
+    def importances(self, spark) -> DataFrame:
+        """Feature importances, largest first."""
+        rows = sorted(zip(self.inputs, (float(v) for v in self.model.featureImportances.toArray())), key=lambda r: (-r[1], r[0]))
+        return spark.createDataFrame(rows, "feature string, importance double")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+
+def coefficient_ranking(model: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Coefficients of each key's model with names and rank by size."""
+    d = model.select(*keys, F.posexplode(F.slice("coef", F.lit(2), F.size("coef") - 1)).alias("_i", "coefficient"))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(F.abs("coefficient").desc(), "_i")
+    return d.select(*keys, label.alias("feature"), "coefficient", F.row_number().over(w).alias("rank"))
+
+
+# search ----------------------------------------------------------------------------------
+def search_ridge(df: DataFrame, keys: Sequence[str], ts: str, x: str, y: str, alphas: Sequence[float], folds: int = 3) -> DataFrame:
+    """Expanding-window errors of every penalty for every key, in one job.
+
+    The sums of each (key, fold) serve all penalties.
+    """
+    d = expanding_folds(df.where(F.col(y).isNotNull()), keys, ts, folds)
+    k = [*keys, "fold"]
+    g = gram(d.where("role = 'train'"), k, x, y)
+    m = ridge_solve(g.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))), F.col("alpha"))
+    test = d.where("role = 'test'").join(m, k)
+    err = F.abs(F.col(y) - dot(F.col("coef"), F.col(x)))
+    per_fold = test.groupBy(*k, "alpha").agg(F.avg(err).alias("mae"))
+    return per_fold.groupBy(*keys, "alpha").agg(F.avg("mae").alias("mean_mae"), F.count(F.lit(1)).alias("n_folds"))
+
+
+def search_boosted(
+    df: DataFrame, key: str, ts: str, y: str, features: Sequence[str], grid: Sequence[dict], folds: int = 3
+) -> DataFrame:
+    """Expanding-window RMSE of each parameter set; the driver loops over sets, not data."""
+    d = expanding_folds(df, [key], ts, folds)
+    rows = []
+    for i, params in enumerate(grid):
+        for f in range(1, folds + 1):
+            part = d.where(F.col("fold") == f)
+            m = BoostedModel(key, y, features, **params).fit(part.where("role = 'train'"))
+            rmse = RegressionEvaluator(labelCol=y, predictionCol="yhat", metricName="rmse").evaluate(m.predict(part.where("role = 'test'")))
+            rows.append((i, str(params), f, float(rmse)))
+    return df.sparkSession.createDataFrame(rows, "candidate int, params string, fold int, rmse double")

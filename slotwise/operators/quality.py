@@ -199,8 +199,8 @@ def sanity_report(df: DataFrame, wait: str = "wait_time", closed: str = "closed"
             add("sin_cos_corr", b, safe_corr(s, k), lambda v: F.coalesce(F.abs(v) <= 0.1, F.lit(True)))
             add("unit_circle", b, F.max(F.abs(F.sqrt(F.col(s) * F.col(s) + F.col(k) * F.col(k)) - 1)), lambda v: v <= 0.1)
     if wait in have:
-        st = df.agg(F.avg(wait).alias("m"), F.stddev_samp(wait).alias("s"))
-        far = F.abs(F.col(wait) - st.select("m").scalar()) > 5 * st.select("s").scalar()
+        st = df.agg(F.struct(F.avg(wait).alias("m"), F.stddev_samp(wait).alias("s"))).scalar()
+        far = F.abs(F.col(wait) - st["m"]) > 5 * st["s"]
         add("wait_outliers", wait, F.count_if(far).cast("double"), zero)
         add("wait_negative", wait, F.count_if(F.col(wait) < 0).cast("double"), zero)
         if closed in have:

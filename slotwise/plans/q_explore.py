@@ -8,6 +8,7 @@ from slotwise.operators import evaluate, explore, sets
 from slotwise.operators.filters import meaningful
 from slotwise.plans.q_forecast import pred, rounded, scores
 from slotwise.plans.registry import query
+from slotwise.session import cut_lineage
 
 R = lambda c, n=6: F.round(c, n)
 K, T, W = "ride_name", "timestamp", "wait_time"
@@ -35,9 +36,9 @@ def agg2_mean(t):
     return t.wide.groupBy(K).agg(R(F.avg(W)).alias("mean_wait"))
 
 
-@query("agg3_day_of_year_by_ride", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN wait_time END)", "v_daily", "dayofyear(timestamp)", "day_of_year", PRIOS, digits=4))
+@query("agg3_day_of_year_by_ride", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN wait_time END)", "v_daily", "dayofyear(timestamp)", "day_of_year", PRIOS, digits=6))
 def agg3(t):
-    return rounded(explore.pivot(t.daily, {"day_of_year": F.dayofyear(T)}, K, PRIOS, F.avg(W)), *PRIOS, n=4)
+    return rounded(explore.pivot(t.daily, {"day_of_year": F.dayofyear(T)}, K, PRIOS, F.avg(W)), *PRIOS, n=6)
 
 
 @query("agg4_closure_rate", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN CAST(closed AS INT) END)", "v_grid5", "month(timestamp)", "month"))
@@ -155,13 +156,13 @@ IDX = " SELECT date, round((least(daily_total_wait/x*100,100) + least(daily_avg_
 
 @query("agg16_attendance_index", ATT + ", l AS (SELECT quantile_cont(daily_total_wait, 0.95) x, quantile_cont(daily_avg_wait, 0.95) y, quantile_cont(daily_median_wait, 0.95) z FROM a)" + IDX)
 def agg16(t):
-    m = explore.attendance_metrics(t.obs, K, T, W, top=3).select("date", "daily_total_wait", "daily_avg_wait", "daily_median_wait")
+    m = cut_lineage(explore.attendance_metrics(t.obs, K, T, W, top=3).select("date", "daily_total_wait", "daily_avg_wait", "daily_median_wait"))
     return rounded(explore.attendance_index(m).select("date", "attendance_index"), "attendance_index")
 
 
 @query("agg16_attendance_index_listed", ATT + ", l AS (SELECT median(daily_total_wait) x, median(daily_avg_wait) y, median(daily_median_wait) z FROM a WHERE date IN ('2024-01-06', '2024-01-13', '2024-01-20', '2031-01-01'))" + IDX)
 def agg16_listed(t):
-    m = explore.attendance_metrics(t.obs, K, T, W, top=3).select("date", "daily_total_wait", "daily_avg_wait", "daily_median_wait")
+    m = cut_lineage(explore.attendance_metrics(t.obs, K, T, W, top=3).select("date", "daily_total_wait", "daily_avg_wait", "daily_median_wait"))
     d = explore.attendance_index(m, ["2024-01-06", "2024-01-13", "2024-01-20", "2031-01-01"])
     return rounded(d.select("date", "attendance_index"), "attendance_index")
 
@@ -188,7 +189,7 @@ def agg18_top(t):
 
 @query("agg19_metric_summary", "SELECT model, round(avg(mae),2) AS mae_mean, round(stddev_samp(mae),2) AS mae_std, round(median(mae),2) AS mae_median FROM v_scores GROUP BY 1")
 def agg19(t):
-    return evaluate.summarise(scores(t), "model", ["mae"])
+    return evaluate.summarise(cut_lineage(scores(t)), "model", ["mae"])
 
 
 @query("agg20_correlation", "SELECT ride_name, round(corr(hour(timestamp), wait_time), 6) AS c FROM v_obs GROUP BY 1")

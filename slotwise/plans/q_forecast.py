@@ -10,6 +10,7 @@ from slotwise.functions.calendar import flag
 from slotwise.operators import evaluate, models
 from slotwise.operators.baselines import MODELS, Baselines, post_process
 from slotwise.plans.registry import define_view, query
+from slotwise.session import cut_lineage
 
 R = lambda c, n=6: F.round(c, n)
 K, T, W = "ride_name", "timestamp", "wait_time"
@@ -69,7 +70,7 @@ def forecast(t, model: str, src: DataFrame) -> DataFrame:
 
 def _register_baseline(i: int, model: str) -> None:
     src_sql, src = ("v_dsplit", "daily_split") if model == "last_year" else ("v_hsplit", "hourly_split")
-    digits = 4 if model == "last_year" else 8
+    digits = 6 if model == "last_year" else 8
 
     @query(f"bas{i}_{model}", f"SELECT ride_name, timestamp, split, round(yhat, {digits}) AS yhat FROM ({base_sql(model, src_sql)})")
     def _run(t):
@@ -100,12 +101,12 @@ def bas9(t):
 
 @query(
     "bas10_all_baselines",
-    " UNION ALL ".join(f"SELECT ride_name, timestamp, split, round(yhat, 4) AS yhat, '{m}' AS model FROM ({base_sql(m, 'v_dsplit')})" for m in MODELS),
+    " UNION ALL ".join(f"SELECT ride_name, timestamp, split, round(yhat, 6) AS yhat, '{m}' AS model FROM ({base_sql(m, 'v_dsplit')})" for m in MODELS),
 )
 def bas10(t):
     s = t.daily_split
     d = Baselines().all(s.where("split='train'"), s.where("split<>'train'"), t.holidays)
-    return rounded(d.select(K, T, "split", "yhat", "model"), "yhat", n=4)
+    return rounded(d.select(K, T, "split", "yhat", "model"), "yhat", n=6)
 
 
 @query(
@@ -218,7 +219,7 @@ def eva7(t):
     "SELECT a.ride_name, a.split, round(a.mae,6) AS mae_tf, round(b.mae,6) AS mae_ar, round(b.mae-a.mae,6) AS diff, round((a.mae-b.mae)/a.mae*100,6) AS improvement_pct FROM v_scores a JOIN v_scores b USING (ride_name, split) WHERE a.model='time_of_day' AND b.model='mean'",
 )
 def eva8(t):
-    s = scores(t)
+    s = cut_lineage(scores(t))
     d = evaluate.compare_runs(s.where("model='time_of_day'"), s.where("model='mean'"), [K, "split"], "mae", ("_tf", "_ar"))
     return rounded(d, "mae_tf", "mae_ar", "diff", "improvement_pct")
 
@@ -228,7 +229,7 @@ def eva8(t):
     "SELECT a.ride_name, a.split, round(a.rmse,6) AS rmse_without, round(b.rmse,6) AS rmse_with, round(b.rmse-a.rmse,6) AS diff, round((a.rmse-b.rmse)/a.rmse*100,6) AS improvement_pct FROM v_scores a JOIN v_scores b USING (ride_name, split) WHERE a.model='time_of_day' AND b.model='day_time'",
 )
 def eva9(t):
-    s = scores(t)
+    s = cut_lineage(scores(t))
     d = evaluate.compare_runs(s.where("model='time_of_day'"), s.where("model='day_time'"), [K, "split"], "rmse", ("_without", "_with"))
     return rounded(d, "rmse_without", "rmse_with", "diff", "improvement_pct")
 
@@ -254,7 +255,7 @@ def eva11_wins(t):
     SELECT model, split, round(avg(mae),2) AS mae_mean, round(stddev_samp(mae),2) AS mae_std, round(median(mae),2) AS mae_median, round(avg(rmse),2) AS rmse_mean, round(stddev_samp(rmse),2) AS rmse_std, round(median(rmse),2) AS rmse_median FROM s GROUP BY 1,2""",
 )
 def eva12(t):
-    s = scores(t).withColumn("mae", F.when(F.col(K) == "view", F.lit(float("inf"))).otherwise(F.col("mae")))
+    s = cut_lineage(scores(t)).withColumn("mae", F.when(F.col(K) == "view", F.lit(float("inf"))).otherwise(F.col("mae")))
     return evaluate.summarise(s, ["model", "split"], ["mae", "rmse"])
 
 
