@@ -1,7 +1,7 @@
 """Lookup forecasts: fit is an aggregation, predict is a join. All keys in one job."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.columns import attach
 from slotwise.functions.calendar import day_time_key, same_weekday_last_year, time_key
-from slotwise.operators.scans import carry_forward, day_chunk, over_previous_rows
+from slotwise.operators.scans import as_of, day_chunk, over_previous_rows
 
 MODELS = (
     "mean", "time_of_day", "day_time", "moving_average", "seasonal_weekly", "holiday_aware", "last_week", "last_year",
@@ -26,19 +26,38 @@ class Baselines:
         self.key, self.ts, self.y, self.out = key, ts, y, out
 
     # -- helpers
-    def _mean_by(self, train: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
-        return train.groupBy(self.key, *[e.alias(k) for k, e in keys.items()]).agg(F.avg(self.y).alias(name))
+    def _global(self, train: DataFrame, name: str = "_g") -> DataFrame:
+        return train.groupBy(self.key).agg(F.avg(self.y).alias(name))
+
+    def _lookup(self, future: DataFrame, slots: dict[str, Column], fill: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Forecast that depends on the key and a few slot columns only.
+
+        The distinct slots of the future (a small table) are completed by ``fill`` with the
+        output column; the future rows then meet that table once.
+        """
+        d = future.withColumns(slots) if slots else future
+        on = [self.key, *slots]
+        table = fill(d.select(*on).distinct()).select(*on, self.out)
+        return attach(d, table, on).select(*future.columns, self.out)
 
     def _chain(self, train: DataFrame, future: DataFrame, levels: Sequence[dict[str, Column]]) -> DataFrame:
-        """First level with a mean wins; levels go from specific to general."""
-        cols = future.columns
-        d = future
-        every = {k: e for lv in levels for k, e in lv.items()}
-        for k, e in every.items():
-            d = d.withColumn(k, e)
-        for i, lv in enumerate(levels):
-            d = attach(d, self._mean_by(train, lv, f"_m{i}"), [self.key, *lv])
-        return d.select(*cols, F.coalesce(*[F.col(f"_m{i}") for i in range(len(levels))]).alias(self.out))
+        """First level with a mean wins; levels go from specific to general.
+
+        Training rows are summed once over the finest slots, the coarser means come from
+        those sums.
+        """
+        slots = {k: e for lv in levels for k, e in lv.items()}
+        fine = train.groupBy(self.key, *[e.alias(k) for k, e in slots.items()]).agg(
+            F.sum(self.y).alias("_s"), F.count(self.y).alias("_c")
+        )
+
+        def fill(table: DataFrame) -> DataFrame:
+            for i, lv in enumerate(levels):
+                m = fine.groupBy(self.key, *lv).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(f"_m{i}"))
+                table = attach(table, m, [self.key, *lv])
+            return table.withColumn(self.out, F.coalesce(*[F.col(f"_m{i}") for i in range(len(levels))]))
+
+        return self._lookup(future, slots, fill)
 
     # -- models
     def mean(self, train: DataFrame, future: DataFrame) -> DataFrame:
@@ -77,20 +96,12 @@ class Baselines:
         ma = over_previous_rows(
             train.where(F.col(self.y).isNotNull()).select(self.key, self.ts, self.y), self.key, self.ts, window, exprs, day_chunk(self.ts)
         ).select(self.key, self.ts, "_ma")
-        return self._as_of(ma, "_ma", train, future, inclusive=False)
-
-    def _as_of(self, hist: DataFrame, col: str, train: DataFrame, future: DataFrame, inclusive: bool) -> DataFrame:
-        cols = future.columns
-        stamps = future.select(self.key, self.ts).distinct()
-        both = hist.unionByName(stamps, allowMissingColumns=True).groupBy(self.key, self.ts).agg(F.max(col).alias(col))
-        hit = carry_forward(both, self.key, self.ts, {col: "_v"}, inclusive=inclusive).select(self.key, self.ts, "_v")
-        d = future.join(hit, [self.key, self.ts], "left")
-        d = attach(d, self._mean_by(train, {}, "_g"), [self.key])
-        return d.select(*cols, F.coalesce("_v", "_g").alias(self.out))
+        d = as_of(future, ma, self.key, self.ts, {"_ma": "_ma"}, strict=True)
+        d = attach(d, self._global(train), [self.key])
+        return d.select(*future.columns, F.coalesce("_ma", "_g").alias(self.out))
 
     def seasonal_weekly(self, train: DataFrame, future: DataFrame, weeks: int = 4) -> DataFrame:
         """Mean of the newest ``weeks`` training rows with the same weekday and time."""
-        cols = future.columns
         w = Window.partitionBy(self.key, "_dtk").orderBy(F.col(self.ts).desc())
         last = (
             train.withColumn("_dtk", day_time_key(self.ts))
@@ -99,9 +110,12 @@ class Baselines:
             .groupBy(self.key, "_dtk")
             .agg(F.avg(self.y).alias("_s"))
         )
-        d = attach(future.withColumn("_dtk", day_time_key(self.ts)), last, [self.key, "_dtk"])
-        d = attach(d, self._mean_by(train, {}, "_g"), [self.key])
-        return d.select(*cols, F.coalesce("_s", "_g").alias(self.out))
+
+        def fill(table: DataFrame) -> DataFrame:
+            t = attach(attach(table, last, [self.key, "_dtk"]), self._global(train), [self.key])
+            return t.withColumn(self.out, F.coalesce("_s", "_g"))
+
+        return self._lookup(future, {"_dtk": day_time_key(self.ts)}, fill)
 
     def last_week(self, train: DataFrame, future: DataFrame, later: Sequence[DataFrame] = (), days: int = 7) -> DataFrame:
         """Exact value ``days`` earlier; where sources overlap the later source wins."""
@@ -112,7 +126,7 @@ class Baselines:
             self.key, (F.col(self.ts) + F.make_dt_interval(days=F.lit(days))).alias(self.ts)
         ).agg(F.max_by(self.y, "_p").alias("_v"))
         d = future.join(hist, [self.key, self.ts], "left")
-        d = attach(d, self._mean_by(train, {}, "_g"), [self.key])
+        d = attach(d, self._global(train), [self.key])
         return d.select(*cols, F.coalesce("_v", "_g").alias(self.out))
 
     def last_year(self, train: DataFrame, future: DataFrame) -> DataFrame:
@@ -123,7 +137,7 @@ class Baselines:
             d.select(self.key, "_target").distinct(), train.select(self.key, self.ts, self.y), self.key, "_target", self.ts, self.y, "_v"
         )
         d = d.join(hit, [self.key, "_target"], "left")
-        d = attach(d, self._mean_by(train, {}, "_g"), [self.key])
+        d = attach(d, self._global(train), [self.key])
         return d.select(*cols, F.coalesce("_v", "_g").alias(self.out))
 
     def all(self, train: DataFrame, future: DataFrame, holidays: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, attach
+from slotwise.columns import attach
 from slotwise.functions.weather import DEFAULT_RAIN, DEFAULT_TEMPERATURE, rain_indicator
 from slotwise.operators.baselines import nearest_in_time
-from slotwise.operators.scans import carry_forward
+from slotwise.operators.scans import as_of  # noqa: F401  (part of this module's interface)
 
 
 def add_attributes(df: DataFrame, dim: DataFrame, key: str, dim_key: str, cols: Sequence[str], prefix: str = "feature_") -> DataFrame:
@@ -55,21 +55,6 @@ def merge_predictions(actual: DataFrame, forecast: DataFrame, on: Sequence[str])
     return actual.join(forecast, list(on), "full")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: str | Sequence[str], ts: str, cols: Sequence[str], strict: bool = False) -> DataFrame:
-    """Last non-null value of ``right`` at or before (``strict``: before) each row of ``left``.
-
-    Both sides meet in one union ordered by time, no range join. Values of equal stamps
-    collapse to the greatest.
-    """
-    keys = as_list(keys)
-    r = right.groupBy(*keys, ts).agg(*[F.max(x).alias(x) for x in cols])
-    stamps = left.select(*keys, ts).distinct()
-    both = r.unionByName(stamps, allowMissingColumns=True).groupBy(*keys, ts).agg(*[F.max(x).alias(x) for x in cols])
-    hit = carry_forward(both, keys, ts, {x: f"_f_{x}" for x in cols}, inclusive=not strict)
-    hit = hit.select(*keys, ts, *[F.col(f"_f_{x}").alias(x) for x in cols])
-    return left.join(hit, [*keys, ts], "left")
-
-
 def lag_join(df: DataFrame, keys: Sequence[str], ts: str, col: str, days: int, out: str) -> DataFrame:
     """Value of exactly ``days`` earlier, by an equi-join on the shifted stamp."""
     past = df.select(*keys, (F.col(ts) + F.make_dt_interval(days=F.lit(days))).alias(ts), F.col(col).alias(out))

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, attach, require
+from slotwise.columns import as_list, require
 from slotwise.functions.calendar import floor_to, hhmm_minutes, seconds_of_day, time_key
-from slotwise.operators.scans import carry_backward, carry_forward
+from slotwise.operators.scans import as_of, carry_backward, carry_forward
 
 
 def to_slots(df: DataFrame, key: str, ts: str, measure: str, minutes: int) -> DataFrame:
@@ -157,22 +157,14 @@ def resample_ffill(
     slot on. A first slot before the first reading stays NULL.
     """
     keys = as_list(keys)
-    spine = series_spine(df, keys, ts, minutes).withColumn("_spine", F.lit(True))
-    both = df.select(*keys, ts, *cols).withColumn("_spine", F.lit(False)).unionByName(spine, allowMissingColumns=True)
-    src = {c: f"_f_{c}" for c in cols}
-    if max_age is not None:
-        both = both.withColumn("_seen", F.when(~F.col("_spine"), F.col(ts)))
-        src["_seen"] = "_f__seen"
-    # readings first at equal stamps, so that a slot sees the reading on its own edge
-    both = both.groupBy(*keys, ts).agg(
-        F.max("_spine").alias("_spine"),
-        *[F.max(c).alias(c) for c in src],
-    )
-    out = carry_forward(both, keys, ts, src).where("_spine")
-    if max_age is not None:
-        fresh = F.col("_f__seen") >= F.col(ts) - F.make_dt_interval(mins=F.lit(max_age))
-        return out.select(*keys, ts, *[F.when(fresh, F.col(f"_f_{c}")).alias(c) for c in cols])
-    return out.select(*keys, ts, *[F.col(f"_f_{c}").alias(c) for c in cols])
+    spine = series_spine(df, keys, ts, minutes)
+    src = {c: c for c in cols}
+    if max_age is None:
+        return as_of(spine, df, keys, ts, src)
+    seen = df.withColumn("_seen", F.col(ts))
+    out = as_of(spine, seen, keys, ts, {**src, "_seen": "_seen"})
+    fresh = F.col("_seen") >= F.col(ts) - F.make_dt_interval(mins=F.lit(max_age))
+    return out.select(*keys, ts, *[F.when(fresh, F.col(c)).alias(c) for c in cols])
 
 
 def resample_agg(

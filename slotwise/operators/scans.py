@@ -1,8 +1,10 @@
 """Two-level scans: running values over a key's whole history without one task per key.
 
 A window partitioned by the entity alone puts the hottest entity into one task. These
-primitives cut each entity's history into chunks, work inside the chunks in parallel, and
-pass only one summary row per chunk through the second level.
+primitives cut each entity's history into chunks and work inside the chunks in parallel. What
+a chunk needs from its neighbours is one summary row per chunk. That row is unioned to the
+data and travels in the same shuffle, ahead of (or behind) the chunk's own rows, so nothing
+is joined back.
 """
 from __future__ import annotations
 
@@ -11,9 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, attach
+from slotwise.columns import as_list
 
-_CHUNK, _HOME = "_chunk", "_home"
+_CHUNK, _HOME, _KIND = "_chunk", "_home", "_kind"
+_BEFORE, _DATA, _AFTER = 0, 1, 2
 
 
 def day_chunk(ts: str) -> Column:
@@ -30,26 +33,55 @@ def row_index(
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by ``order``.
 
-    ``chunk`` must be non-decreasing along ``order``. Local row numbers are shifted by the
-    row count of all earlier chunks of the key.
+    ``chunk`` must be non-decreasing along ``order``. The row count of all earlier chunks of
+    the key comes as the first row of each chunk.
     """
     keys = as_list(keys)
     d = df.withColumn(_CHUNK, chunk)
     sizes = d.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(_CHUNK)
-    offs = sizes.select(
+    w2 = Window.partitionBy(*keys)
+    heads = sizes.select(
         *keys,
         _CHUNK,
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_tot"),
+        F.coalesce(F.sum("_n").over(w2.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(w2).alias("_tot"),
+        F.lit(_BEFORE).alias(_KIND),
     )
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*as_list(order))
-    d = d.withColumn("_rn", F.row_number().over(local))
-    d = attach(d, offs, [*keys, _CHUNK])
-    d = d.withColumn(out, F.col("_off") + F.col("_rn") - 1)
+    u = d.withColumn(_KIND, F.lit(_DATA)).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(_KIND, *as_list(order))
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    # the head is row 1 of its chunk, so the first data row is row 2
+    u = u.withColumn(out, F.first("_off").over(sofar) + F.row_number().over(w) - 2)
     if total:
-        d = d.withColumn(total, F.col("_tot"))
-    return d.drop(_CHUNK, "_rn", "_off", "_tot")
+        u = u.withColumn(total, F.first("_tot").over(sofar))
+    return u.where(F.col(_KIND) == _DATA).drop(_CHUNK, _KIND, "_off", "_tot")
+
+
+def _carry(
+    df: DataFrame, keys: list[str], ts: str, cols: dict[str, str], chunk: Column, order: Sequence[str], forward: bool, inclusive: bool
+) -> DataFrame:
+    d = df.withColumn(_CHUNK, chunk)
+    pick = F.max_by if forward else F.min_by
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(ts, *order))
+    ends = d.groupBy(*keys, _CHUNK).agg(*[pick(c, at(c)).alias(c) for c in cols])
+    w2 = Window.partitionBy(*keys).orderBy(_CHUNK)
+    if forward:
+        past = w2.rowsBetween(Window.unboundedPreceding, -1)
+        carried = [F.last(c, ignorenulls=True).over(past).alias(c) for c in cols]
+    else:
+        coming = w2.rowsBetween(1, Window.unboundedFollowing)
+        carried = [F.first(c, ignorenulls=True).over(coming).alias(c) for c in cols]
+    summary = ends.select(*keys, _CHUNK, *carried, F.lit(_BEFORE if forward else _AFTER).alias(_KIND))
+    u = d.withColumn(_KIND, F.lit(_DATA)).unionByName(summary, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(_KIND, ts, *order)
+    edge = 0 if inclusive else 1
+    if forward:
+        span = w.rowsBetween(Window.unboundedPreceding, -edge)
+        u = u.withColumns({o: F.last(c, ignorenulls=True).over(span) for c, o in cols.items()})
+    else:
+        span = w.rowsBetween(edge, Window.unboundedFollowing)
+        u = u.withColumns({o: F.first(c, ignorenulls=True).over(span) for c, o in cols.items()})
+    return u.where(F.col(_KIND) == _DATA).drop(_CHUNK, _KIND)
 
 
 def carry_forward(
@@ -59,29 +91,14 @@ def carry_forward(
     cols: dict[str, str],
     chunk: Column | None = None,
     inclusive: bool = True,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Last non-null value of each column up to the row (or strictly before it).
 
-    ``cols`` maps input column to output column. Unlimited look-back, also across chunks:
-    the last value of every chunk is carried to the later ones.
+    ``cols`` maps input column to output column. The look-back is unlimited: each chunk
+    starts with the last values of all earlier ones. ``order`` settles equal stamps.
     """
-    keys = as_list(keys)
-    d = df.withColumn(_CHUNK, day_chunk(ts) if chunk is None else chunk)
-    tails = d.groupBy(*keys, _CHUNK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_t_{c}") for c in cols]
-    )
-    w2 = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(
-        *keys, _CHUNK, *[F.last(f"_t_{c}", ignorenulls=True).over(w2).alias(f"_c_{c}") for c in cols]
-    )
-    w1 = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
-    w1 = w1.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    for c in cols:
-        d = d.withColumn(f"_l_{c}", F.last(c, ignorenulls=True).over(w1))
-    d = attach(d, carried, [*keys, _CHUNK])
-    for c, out in cols.items():
-        d = d.withColumn(out, F.coalesce(f"_l_{c}", f"_c_{c}"))
-    return d.drop(_CHUNK, *[f"_l_{c}" for c in cols], *[f"_c_{c}" for c in cols])
+    return _carry(df, as_list(keys), ts, cols, day_chunk(ts) if chunk is None else chunk, order, True, inclusive)
 
 
 def carry_backward(
@@ -90,24 +107,28 @@ def carry_backward(
     ts: str,
     cols: dict[str, str],
     chunk: Column | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """First non-null value of each column from the row onwards."""
+    return _carry(df, as_list(keys), ts, cols, day_chunk(ts) if chunk is None else chunk, order, False, True)
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], ts: str, cols: dict[str, str], strict: bool = False
+) -> DataFrame:
+    """Last non-null values of ``right`` at or before (``strict``: before) each row of ``left``.
+
+    Both sides meet in one union ordered by time: no range join, no join back. Of several
+    right rows with one stamp the greatest counts.
+    """
     keys = as_list(keys)
-    d = df.withColumn(_CHUNK, day_chunk(ts) if chunk is None else chunk)
-    heads = d.groupBy(*keys, _CHUNK).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_t_{c}") for c in cols]
-    )
-    w2 = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carried = heads.select(
-        *keys, _CHUNK, *[F.first(f"_t_{c}", ignorenulls=True).over(w2).alias(f"_c_{c}") for c in cols]
+    r = right.select(*keys, ts, *[F.col(c).alias(f"_r_{c}") for c in cols], F.lit(1 if strict else 0).alias("_side"))
+    u = left.withColumn("_side", F.lit(0 if strict else 1)).unionByName(r, allowMissingColumns=True)
+    out = carry_forward(
+        u, keys, ts, {f"_r_{c}": f"_o_{o}" for c, o in cols.items()}, order=["_side", *[f"_r_{c}" for c in cols]]
     )
-    w1 = Window.partitionBy(*keys, _CHUNK).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    for c in cols:
-        d = d.withColumn(f"_l_{c}", F.first(c, ignorenulls=True).over(w1))
-    d = attach(d, carried, [*keys, _CHUNK])
-    for c, out in cols.items():
-        d = d.withColumn(out, F.coalesce(f"_l_{c}", f"_c_{c}"))
-    return d.drop(_CHUNK, *[f"_l_{c}" for c in cols], *[f"_c_{c}" for c in cols])
+    out = out.where(F.col("_side") == (0 if strict else 1))
+    return out.select(*left.columns, *[F.col(f"_o_{o}").alias(o) for o in cols.values()])
 
 
 def over_previous_rows(
@@ -130,15 +151,7 @@ def over_previous_rows(
     if back > size:
         raise ValueError("block must be at least as long as the frame")
     d = row_index(df, keys, order, chunk, "row_idx")
-    home = F.floor(F.col("row_idx") / size)
-    spill = F.pmod(F.col("row_idx"), F.lit(size)) >= size - back
-    d = d.withColumn(_HOME, home).withColumn(
-        _CHUNK, F.explode(F.when(spill, F.array(F.col(_HOME), F.col(_HOME) + 1)).otherwise(F.array(F.col(_HOME))))
-    )
-    w = Window.partitionBy(*keys, _CHUNK).orderBy("row_idx")
-    for name, e in exprs(w).items():
-        d = d.withColumn(name, e)
-    return d.where(F.col(_CHUNK) == F.col(_HOME)).drop(_CHUNK, _HOME)
+    return _in_blocks(d, keys, F.col("row_idx"), size, back, exprs, lambda w: w.orderBy("row_idx"))
 
 
 def over_previous_time(
@@ -154,14 +167,16 @@ def over_previous_time(
     when it lies in its last ``seconds`` completes every frame.
     """
     keys = as_list(keys)
-    size = max(86400, seconds) * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d = df.withColumn("_us", us).withColumn(_HOME, F.floor(F.col("_us") / size))
-    spill = F.pmod(F.col("_us"), F.lit(size)) >= size - seconds * 1_000_000
-    d = d.withColumn(
-        _CHUNK, F.explode(F.when(spill, F.array(F.col(_HOME), F.col(_HOME) + 1)).otherwise(F.array(F.col(_HOME))))
-    )
-    w = Window.partitionBy(*keys, _CHUNK).orderBy("_us").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    for name, e in exprs(w).items():
-        d = d.withColumn(name, e)
-    return d.where(F.col(_CHUNK) == F.col(_HOME)).drop(_CHUNK, _HOME, "_us")
+    reach = seconds * 1_000_000
+    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    frame = lambda w: w.orderBy("_us").rangeBetween(-reach + 1, 0)
+    return _in_blocks(d, keys, F.col("_us"), max(86_400_000_000, reach), reach, exprs, frame).drop("_us")
+
+
+def _in_blocks(d: DataFrame, keys: list[str], pos: Column, size: int, reach: int, exprs, frame) -> DataFrame:
+    spill = F.pmod(pos, F.lit(size)) >= size - reach
+    d = d.withColumn(_HOME, F.floor(pos / size))
+    homes = F.when(spill, F.array(F.col(_HOME), F.col(_HOME) + 1)).otherwise(F.array(F.col(_HOME)))
+    d = d.withColumn(_CHUNK, F.explode(homes))
+    d = d.withColumns(exprs(frame(Window.partitionBy(*keys, _CHUNK))))
+    return d.where(F.col(_CHUNK) == F.col(_HOME)).drop(_CHUNK, _HOME)

@@ -139,7 +139,7 @@ def joi12(t):
 )
 def joi13(t):
     h = t.hourly.where(F.col(W) > 40).withColumnRenamed(W, "last_known")
-    return enrich.as_of(t.obs.select(K, T), h, K, T, ["last_known"]).withColumn("last_known", R("last_known"))
+    return enrich.as_of(t.obs.select(K, T), h, K, T, {"last_known": "last_known"}).withColumn("last_known", R("last_known"))
 
 
 @query(
@@ -148,7 +148,7 @@ def joi13(t):
 )
 def joi13_strict(t):
     h = t.half.withColumnRenamed(W, "last_known")
-    return enrich.as_of(t.hourly.select(K, T), h, K, T, ["last_known"], strict=True).withColumn("last_known", R("last_known"))
+    return enrich.as_of(t.hourly.select(K, T), h, K, T, {"last_known": "last_known"}, strict=True).withColumn("last_known", R("last_known"))
 
 
 @query(
