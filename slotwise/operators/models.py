@@ -70,7 +70,7 @@ def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_v"]).alias("gram"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(g: pd.Series, alpha: pd.Series) -> pd.Series:
     """(intercept, coefficients...) of ridge with a free intercept from the matrix of sums."""
     def one(flat, a):

@@ -10,15 +10,19 @@ from slotwise.plans.registry import query
 R = lambda c, n=8: F.round(c, n)
 K, T, W = "ride_name", "timestamp", "wait_time"
 NAME_SQL = "concat('The ', p_name, ' – «', p_brand, '»  Café!', CASE WHEN p_partkey % 2 = 0 THEN ' Powered by X' ELSE '' END)"
-NAME = F.concat(
-    F.lit("The "), F.col("p_name"), F.lit(" – «"), F.col("p_brand"), F.lit("»  Café!"),
-    F.when(F.col("p_partkey") % 2 == 0, " Powered by X").otherwise(""),
-)
+
+
+def shown_name():
+    """Names with dashes, accents, quotes and a sponsor, as displays carry them."""
+    return F.concat(
+        F.lit("The "), F.col("p_name"), F.lit(" – «"), F.col("p_brand"), F.lit("»  Café!"),
+        F.when(F.col("p_partkey") % 2 == 0, " Powered by X").otherwise(""),
+    )
 
 
 @query("str1_training_key", f"SELECT p_partkey, regexp_replace(lower({NAME_SQL}), '[^a-z0-9\\s]', '', 'g') AS k FROM part")
 def str1(t):
-    return t.part.select("p_partkey", text.training_key(NAME).alias("k"))
+    return t.part.select("p_partkey", text.training_key(shown_name()).alias("k"))
 
 
 @query(
@@ -26,7 +30,7 @@ def str1(t):
     f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unknown_ride' ELSE regexp_replace(regexp_replace(regexp_replace(lower({NAME_SQL}), '[^\\pL\\pN_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') END AS k FROM part",
 )
 def str2(t):
-    name = F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 5 != 0, NAME)
+    name = F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 5 != 0, shown_name())
     return t.part.select("p_partkey", text.service_key(name).alias("k"))
 
 
@@ -35,7 +39,7 @@ def str2(t):
     "SELECT p_partkey, concat(lower(p_name), '-«', lower(p_brand), '» café') AS k FROM part",
 )
 def str3(t):
-    return t.part.select("p_partkey", text.display_key(NAME).alias("k"))
+    return t.part.select("p_partkey", text.display_key(shown_name()).alias("k"))
 
 
 @query("str4_aliases", "SELECT event_id, CASE event_type WHEN 'view' THEN 'click' WHEN 'error' THEN 'fault' ELSE event_type END AS k FROM events")
