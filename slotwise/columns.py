@@ -38,5 +38,8 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "lef
     """
     keys = list(keys)
     extra = [c for c in other.columns if c not in keys]
+    if not keys:  # one row of overall statistics: a scalar subquery, not a join
+        d = df.withColumn("_one", other.select(F.struct(*extra)).scalar())
+        return d.select(*df.columns, *[F.col("_one")[c].alias(c) for c in extra])
     j = df.alias("l").join(other.alias("r"), same_keys("l", "r", keys), how)
     return j.select("l.*", *[F.col(f"r.{c}").alias(c) for c in extra])

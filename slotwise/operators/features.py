@@ -12,6 +12,7 @@ from slotwise.functions import weather as wx
 from slotwise.functions.arrays import one_hot
 from slotwise.functions.order_stats import exact_quantiles
 from slotwise.operators.windows import long_lags
+from slotwise.session import cut_lineage
 
 # The service's default scaler.
 FIXED_SCALER = {"temperature": (15.0, 8.0), "rain": (0.15, 0.36)}
@@ -63,8 +64,10 @@ def recent_scaler(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str],
     column; the fixed scaler for keys with too little data."""
     ks = as_list(keys)
     sizes = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_rows"))
-    d = df
-    for x in cols:
+    d = df.select(*ks, *cols)
+    for i, x in enumerate(cols):
+        if i:  # the next column is trimmed on what this one left
+            d = cut_lineage(d)
         q = exact_quantiles(d, ks, x, {"_q1": 0.25, "_q3": 0.75})
         iqr = F.col("_q3") - F.col("_q1")
         d = attach(d, q, ks).where(F.col(x).between(F.col("_q1") - 1.5 * iqr, F.col("_q3") + 1.5 * iqr)).drop("_q1", "_q3")

@@ -26,46 +26,55 @@ def fill_within_bucket(df: DataFrame, key: str, ts: str, measure: str, closed: s
     return df.withColumn("_prev", prev).withColumn(measure, F.when(gap, F.col("_prev")).otherwise(F.col(measure))).drop("_prev")
 
 
-def fill_from_prior_period(
-    df: DataFrame, key: str, ts: str, measure: str, closed: str, days: int = 7, minutes: int = 60
-) -> DataFrame:
-    """Open gap takes the value ``days`` earlier in the same bucket, nearest minute, earliest on ties.
+def _with_prior(df: DataFrame, key: str, ts: str, measure: str, closed: str, days: int, minutes: int) -> DataFrame:
+    """Same-bucket and prior-period candidates (``_same``, ``_prior``) of every row.
 
-    Only gaps meet only the readings of their one prior bucket (an equi-join).
+    Each open reading also visits the bucket ``days`` later, where it serves as candidate. So
+    one shuffle by (key, bucket) brings together all that a gap may take; a bucket holds no
+    more than its slots and those of its prior one.
     """
+    known = F.col(measure).isNotNull() & ~F.col(closed)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    period = F.make_dt_interval(days=F.lit(days))
     d = df.withColumn("_b", floor_to(ts, minutes))
-    gap = F.col(measure).isNull() & ~F.col(closed)
-    want = d.where(gap).select(key, ts, (F.col("_b") - F.make_dt_interval(days=F.lit(days))).alias("_b"))
-    have = d.where(F.col(measure).isNotNull() & ~F.col(closed)).select(
-        key, "_b", F.col(ts).alias("_pt"), F.col(measure).alias("_pv")
+    visit = d.where(known).select(
+        key, (F.col("_b") + period).alias("_b"),
+        F.struct(F.unix_micros((F.col(ts) + period).cast("timestamp")).alias("u"), F.col(measure).alias("v")).alias("_cand"),
     )
-    shifted = F.unix_micros((F.col("_pt") + F.make_dt_interval(days=F.lit(days))).cast("timestamp"))
-    dist = F.abs(shifted - F.unix_micros(F.col(ts).cast("timestamp")))
-    best = (
-        want.join(have, [key, "_b"])
-        .groupBy(key, ts)
-        .agg(F.min_by("_pv", F.struct(dist, F.col("_pt"))).alias("_fill"))
-    )
-    return df.join(best, [key, ts], "left").withColumn(measure, F.coalesce(measure, "_fill")).select(*df.columns)
+    u = d.unionByName(visit, allowMissingColumns=True)
+    bucket = Window.partitionBy(key, "_b")
+    past = bucket.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumns(
+        {
+            "_same": F.last(F.when(~F.col(closed), F.col(measure)), ignorenulls=True).over(past),
+            "_cands": F.collect_list("_cand").over(bucket),
+        }
+    ).where(F.col("_cand").isNull())
+    near = F.array_min(F.transform("_cands", lambda c: F.struct(F.abs(c["u"] - us).alias("d"), c["u"].alias("u"), c["v"].alias("v"))))
+    return u.withColumn("_prior", near["v"]).drop("_b", "_cand", "_cands")
+
+
+def fill_from_prior_period(
+    df: DataFrame, key: str, ts: str, measure: str, closed: str, days: int = 7, minutes: int = 60
+) -> DataFrame:
+    """Open gap takes the value ``days`` earlier in the same bucket, nearest minute, earliest on ties."""
+    d = _with_prior(df, key, ts, measure, closed, days, minutes)
+    gap = F.col(measure).isNull() & ~F.col(closed)
+    return d.withColumn(measure, F.when(gap, F.col("_prior")).otherwise(F.col(measure))).select(*df.columns)
 
 
 def fill_gaps(df: DataFrame, key: str, ts: str, measure: str, closed: str, days: int = 7, minutes: int = 60) -> DataFrame:
     """Same bucket first, else the prior period's original values; the rule that fired is kept."""
-    d = fill_within_bucket(df.withColumn("_orig", F.col(measure)), key, ts, measure, closed, minutes)
-    prior = fill_from_prior_period(
-        d.withColumn("_w1", F.col(measure)).withColumn(
-            measure, F.when(F.col("_w1").isNotNull() & F.col("_orig").isNull(), F.lit(None)).otherwise(F.col("_orig"))
-        ),
-        key, ts, measure, closed, days, minutes,
-    )
-    value = F.coalesce(F.col("_w1"), F.col(measure))
+    d = _with_prior(df, key, ts, measure, closed, days, minutes)
+    gap = F.col(measure).isNull() & ~F.col(closed)
     rule = (
-        F.when(F.col("_orig").isNotNull(), "kept")
-        .when(F.col("_w1").isNotNull(), "same_bucket")
-        .when(F.col(measure).isNotNull(), "prior_period")
+        F.when(F.col(measure).isNotNull(), "kept")
+        .when(gap & F.col("_same").isNotNull(), "same_bucket")
+        .when(gap & F.col("_prior").isNotNull(), "prior_period")
         .otherwise("open")
     )
-    return prior.withColumn("fill_rule", rule).withColumn(measure, value).drop("_orig", "_w1")
+    value = F.when(gap, F.coalesce("_same", "_prior")).otherwise(F.col(measure))
+    return d.withColumn("fill_rule", rule).withColumn(measure, value).select(*df.columns, "fill_rule")
 
 
 def fill_gaps_chained(df: DataFrame, key: str, ts: str, measure: str, closed: str) -> DataFrame:
@@ -152,6 +161,6 @@ def impute(
             stat = counts.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias("_stat"))
         else:
             raise ValueError(f"unknown strategy {strategy}")
-        df = attach(df, stat, keys) if keys else df.withColumn("_stat", stat.select("_stat").scalar())
+        df = attach(df, stat, keys)
         df = df.withColumn(c, F.coalesce(c, "_stat")).drop("_stat")
     return df

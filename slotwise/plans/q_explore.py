@@ -230,7 +230,7 @@ def agg23(t):
     CASE WHEN arg_max(f, timestamp) > arg_min(f, timestamp) THEN 'increasing' ELSE 'decreasing' END AS trend, round(corr(b, r),6) AS component_corr, round(quantile_cont(f,0.25),6) AS q25, round(median(f),6) AS median, round(quantile_cont(f,0.75),6) AS q75 FROM p GROUP BY 1""",
 )
 def agg24(t):
-    p = pred(t).where("split='test'").withColumn("resid", F.col(W) - F.col("yhat"))
+    p = cut_lineage(pred(t).where("split='test'").withColumn("resid", F.col(W) - F.col("yhat")))
     d = evaluate.forecast_summary(p, K, T, W, "yhat", "resid")
     return rounded(d, "mean", "std", "min", "max", "component_corr", "q25", "median", "q75")
 

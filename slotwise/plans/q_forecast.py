@@ -104,7 +104,7 @@ def bas9(t):
     " UNION ALL ".join(f"SELECT ride_name, timestamp, split, round(yhat, 6) AS yhat, '{m}' AS model FROM ({base_sql(m, 'v_dsplit')})" for m in MODELS),
 )
 def bas10(t):
-    s = t.daily_split
+    s = cut_lineage(t.daily_split)
     d = Baselines().all(s.where("split='train'"), s.where("split<>'train'"), t.holidays)
     return rounded(d.select(K, T, "split", "yhat", "model"), "yhat", n=6)
 
@@ -117,7 +117,7 @@ def bas10(t):
     ),
 )
 def bas10_resume(t):
-    s = t.daily_split
+    s = cut_lineage(t.daily_split)
     done = s.select(K).distinct().where(F.col(K).isin("1-URGENT", "5-LOW")).select(K, F.explode(F.array(F.lit("mean"), F.lit("last_year"))).alias("model"))
     d = Baselines().all(s.where("split='train'"), s.where("split<>'train'"), t.holidays, done=done)
     return d.groupBy("model", K).agg(F.count(F.lit(1)).alias("n"))
@@ -138,7 +138,8 @@ def pred(t):
 
 
 def long(t):
-    return reduce(DataFrame.unionByName, [forecast(t, m, t.hourly_split).withColumn("model", F.lit(m)) for m in LONG])
+    s = cut_lineage(t.hourly_split)  # slots, read by every model
+    return reduce(DataFrame.unionByName, [forecast(t, m, s).withColumn("model", F.lit(m)) for m in LONG])
 
 
 def scores(t):

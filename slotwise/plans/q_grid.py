@@ -7,6 +7,7 @@ from slotwise.operators import evaluate, fill, grid
 from slotwise.operators.baselines import Baselines
 from slotwise.operators.split import by_boundaries
 from slotwise.plans.registry import define_view, query
+from slotwise.session import cut_lineage
 
 R = lambda c, n=8: F.round(c, n)
 
@@ -37,7 +38,7 @@ define_view(
 def flagship(t):
     d = fill.fill_within_bucket(t.grid5, "ride_name", "timestamp", "wait_time", "closed", 60)
     d = d.where(~F.col("closed") & F.col("wait_time").isNotNull()).select("ride_name", "timestamp", "wait_time")
-    d = by_boundaries(d, "timestamp", "2024-01-21", "2024-01-26")
+    d = cut_lineage(by_boundaries(d, "timestamp", "2024-01-21", "2024-01-26"))  # cleaned facts, read by fit and predict
     p = Baselines().time_of_day(d.where("split = 'train'"), d.where("split <> 'train'"))
     s = evaluate.score(p, ["ride_name", "split"], "wait_time", "yhat", ["mae", "rmse", "r2", "smape_pos", "n_samples"])
     return s.withColumns({c: R(F.col(c)) for c in ("mae", "rmse", "r2", "smape_pos")})
@@ -86,7 +87,7 @@ def grid3(t):
     round(CASE WHEN NOT closed THEN temperature END, 8) AS temperature FROM v_c60 c LEFT JOIN v_weather USING (timestamp)""",
 )
 def grid4(t):
-    g = grid.densify(t.hourly, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 60)
+    g = grid.densify(t.hourly, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 60, strict=True)
     g = grid.mark_closed(g, t.obs, "timestamp", band=("09:00", "21:00"))
     g = g.join(t.weather.select("timestamp", "temperature"), "timestamp", "left")
     m = grid.mask_closed(g, ["wait_time"], ["temperature"])
@@ -255,7 +256,8 @@ def fill5_const(t):
     (SELECT ride_name, median(wait_time) AS q FROM v_grid5 WHERE timestamp < '2024-01-21' GROUP BY 1) m USING (ride_name)""",
 )
 def fill5_median(t):
-    d = fill.impute(t.grid5, "ride_name", ["wait_time"], "median", fit_on=t.grid5.where("timestamp < '2024-01-21'"))
+    g = cut_lineage(t.grid5)
+    d = fill.impute(g, "ride_name", ["wait_time"], "median", fit_on=g.where("timestamp < '2024-01-21'"))
     return d.select("ride_name", "timestamp", R("wait_time").alias("wait_time"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from slotwise.operators import evaluate, features, grid, split, windows
 from slotwise.operators.baselines import Baselines
-from slotwise.plans.registry import define_view, query
+from slotwise.plans.registry import query
+from slotwise.session import cut_lineage
 
 R = lambda c, n=8: F.round(c, n)
 K, T, W = "ride_name", "timestamp", "wait_time"
@@ -87,7 +88,7 @@ def win8(t):
     SELECT ride_name, timestamp, round(greatest(0, least(100, CASE WHEN n > 10 AND sd > 0 THEN 0.8*(0.7*p1*100+0.3*p2*100)+0.2*p3*100 ELSE 0.7*p1*100+0.3*p2*100 END)), 6) AS attendance_score FROM p""",
 )
 def win9(t):
-    d = windows.day_features(t.hourly, K, T, W)
+    d = cut_lineage(windows.day_features(t.hourly, K, T, W))
     return rounded(windows.attendance_score(d, K, T, W).select(K, T, "attendance_score"), "attendance_score", n=6)
 
 
@@ -234,7 +235,7 @@ def fea5(t):
 def fea6(t):
     d = features.polynomial(t.weather.select(T, "temperature", "rain"), ["temperature", "rain"])
     d = d.select(T, F.col("`temperature^2`").alias("tt"), F.col("`temperature rain`").alias("tr"), F.col("`rain^2`").alias("rr"))
-    d = features.standardise(d.withColumn("site", F.lit("site")), "site", ["tt", "tr", "rr"])
+    d = features.standardise(d, [], ["tt", "tr", "rr"])
     return rounded(d.select(T, "tt", "tr", "rr"), "tt", "tr", "rr", n=6)
 
 

@@ -83,13 +83,13 @@ class Tables:
     def sparse_grid(self) -> DataFrame:
         """Hourly 09-21 grid with closed flag; open slots without readings stay NULL."""
         facts = self.hourly
-        g = grid.densify(facts, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 60)
+        g = grid.densify(facts, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 60, strict=True)
         return grid.mask_closed(grid.mark_closed(g, self.obs, "timestamp", band=("09:00", "21:00")), ["wait_time"], [])
 
     @cached_property
     def grid5(self) -> DataFrame:
         """Five-minute 09-21 grid with closed flag and real gaps."""
-        g = grid.densify(self.slots, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 5)
+        g = grid.densify(self.slots, "ride_name", "timestamp", "wait_time", "09:00", "21:00", 5, strict=True)
         return grid.mask_closed(grid.mark_closed(g, self.obs, "timestamp", band=("09:00", "21:00")), ["wait_time"], [])
 
     @cached_property
