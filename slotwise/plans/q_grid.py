@@ -219,9 +219,29 @@ def fill2(t):
     return d.select("ride_name", "timestamp", "closed", R("wait_time").alias("wait_time"))
 
 
-@query("fill2_chained")
+# week by week: the first open gap of an hour that starts without a value is seeded from the
+# filled week before, then values run forward inside the hour
+CHAIN_FILL = """last_value(x IGNORE NULLS) OVER (PARTITION BY ride_name, date_trunc('hour', timestamp), closed ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query(
+    "fill2_chained",
+    f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY ride_name, date_trunc('hour', timestamp), closed ORDER BY timestamp) AS rn,
+        CAST(floor((date - (SELECT min(date) FROM v_grid5)) / 7) AS INT) AS wk FROM v_grid5),
+    f AS (
+      SELECT wk, ride_name, timestamp, closed, CASE WHEN closed THEN x ELSE {CHAIN_FILL} END AS wait_time FROM (SELECT *, wait_time AS x FROM g WHERE wk = 0)
+      UNION ALL
+      SELECT wk, ride_name, timestamp, closed, CASE WHEN closed THEN x ELSE {CHAIN_FILL} END AS wait_time FROM (
+        SELECT g.wk, g.ride_name, g.timestamp, g.closed, CASE WHEN g.wait_time IS NOT NULL OR g.closed OR g.rn > 1 THEN g.wait_time ELSE p.v END AS x
+        FROM g JOIN (SELECT DISTINCT wk AS w0 FROM f) o ON g.wk = o.w0 + 1 LEFT JOIN (
+          SELECT a.ride_name, a.timestamp, arg_min(f.wait_time, abs(epoch_us(f.timestamp) + 7*86400000000 - epoch_us(a.timestamp)) * 1000000 + minute(f.timestamp)) AS v
+          FROM g a JOIN f ON f.ride_name = a.ride_name AND date_trunc('hour', f.timestamp) = date_trunc('hour', a.timestamp) - INTERVAL 7 DAY
+          WHERE a.rn = 1 AND NOT a.closed AND a.wait_time IS NULL AND NOT f.closed AND f.wait_time IS NOT NULL GROUP BY 1, 2) p ON p.ride_name = g.ride_name AND p.timestamp = g.timestamp))
+    SELECT ride_name, timestamp, closed, round(wait_time, 8) AS wait_time FROM f""",
+)
 def fill2_chained(t):
-    return fill.fill_gaps_chained(t.grid5, "ride_name", "timestamp", "wait_time", "closed")
+    d = fill.fill_gaps_chained(t.grid5, "ride_name", "timestamp", "wait_time", "closed")
+    return d.withColumn("wait_time", R("wait_time"))
 
 
 @query(

@@ -7,7 +7,7 @@ from slotwise.functions import calendar as cal
 from slotwise.operators import enrich, evaluate, models, rollout, windows
 from slotwise.operators.baselines import Baselines
 from slotwise.plans.q_forecast import rounded
-from slotwise.plans.registry import query
+from slotwise.plans.registry import define_view, query
 from slotwise.session import cut_lineage, shared_folder
 
 R = lambda c, n=6: F.round(c, n)
@@ -75,6 +75,19 @@ def tun1(t):
     return models.search_ridge(lin_frame(t), [K], T, "x", W, [0.1, 1.0, 10.0, 100.0], folds=3)
 
 
+@query(
+    "tun1_ridge_single_feature",
+    """WITH d AS (SELECT ride_name, timestamp, wait_time AS y, CAST(hour(timestamp) AS DOUBLE) AS x, ntile(4) OVER (PARTITION BY ride_name ORDER BY timestamp) AS tile FROM v_hourly),
+    r AS (SELECT d.*, CAST(f AS INT) AS fold FROM d, unnest(generate_series(1, 3)) AS u(f) WHERE f >= greatest(tile - 1, 1)),
+    s AS (SELECT ride_name, fold, avg(x) mx, avg(y) my, regr_sxx(y, x) sxx, regr_sxy(y, x) sxy FROM r WHERE tile <= fold GROUP BY 1, 2),
+    e AS (SELECT r.ride_name, r.fold, a AS alpha, avg(abs(r.y - (my + sxy/(sxx+a)*(r.x-mx)))) AS mae FROM r JOIN s USING (ride_name, fold), unnest([0.5::DOUBLE, 5000.0::DOUBLE]) AS v(a) WHERE r.tile = r.fold + 1 GROUP BY 1, 2, 3)
+    SELECT ride_name, alpha, round(avg(mae), 6) AS mean_mae, count(*) AS n_folds FROM e GROUP BY 1, 2""",
+)
+def tun1_single(t):
+    d = t.hourly.withColumn("x", models.feature_array([F.hour(T)]))
+    return rounded(models.search_ridge(d, [K], T, "x", W, [0.5, 5000.0], folds=3), "mean_mae")
+
+
 @query("tun1_boosted_search")
 def tun1_boosted(t):
     d = cut_lineage(frame(t))
@@ -114,6 +127,41 @@ def two_stage(t, n=48):
     return d, cut_lineage(rollout.fit_residual_model(d.where("split='train'"), [K], T, W, "base", n))
 
 
+# the same with one lag pair, where SQL can solve the two normal equations
+define_view("v_stage1", "SELECT f.ride_name, f.timestamp, f.split, f.wait_time, coalesce(m.m, g.m) AS base, f.wait_time - coalesce(m.m, g.m) AS r FROM v_halfsplit f LEFT JOIN (SELECT ride_name, hour(timestamp)*60+minute(timestamp) AS tk, avg(wait_time) AS m FROM v_halfsplit WHERE split='train' GROUP BY 1, 2) m ON m.ride_name=f.ride_name AND m.tk=hour(f.timestamp)*60+minute(f.timestamp) LEFT JOIN (SELECT ride_name, avg(wait_time) AS m FROM v_halfsplit WHERE split='train' GROUP BY 1) g ON g.ride_name=f.ride_name")
+define_view("v_lag1", "SELECT *, lag(wait_time) OVER (PARTITION BY ride_name ORDER BY timestamp) AS w1, lag(r) OVER (PARTITION BY ride_name ORDER BY timestamp) AS r1, row_number() OVER (PARTITION BY ride_name ORDER BY timestamp) AS i FROM v_stage1")
+define_view(
+    "v_coef1",
+    """SELECT ride_name, b1, b2, my - b1*m1 - b2*m2 AS b0 FROM (SELECT *, (s1y*(s22+10) - s2y*s12)/((s11+10)*(s22+10) - s12*s12) AS b1, (s2y*(s11+10) - s1y*s12)/((s11+10)*(s22+10) - s12*s12) AS b2 FROM (
+      SELECT ride_name, avg(w1) m1, avg(r1) m2, avg(r) my, var_pop(w1)*count(*) s11, var_pop(r1)*count(*) s22, covar_pop(w1, r1)*count(*) s12, covar_pop(w1, r)*count(*) s1y, covar_pop(r1, r)*count(*) s2y FROM v_lag1 WHERE split='train' AND i > 1 GROUP BY 1))""",
+)
+
+
+@query(
+    "rol1_one_lag",
+    "SELECT ride_name, timestamp, round(CASE WHEN i = 1 THEN base ELSE greatest(base + b0 + b1*w1 + b2*r1, 0) END, 5) AS prediction FROM v_lag1 JOIN v_coef1 USING (ride_name)",
+)
+def rol1_one(t):
+    d, m = two_stage(t, n=1)
+    return rounded(rollout.teacher_forced(d, m, [K], T, W, "base", 1).select(K, T, "prediction"), "prediction", n=5)
+
+
+@query(
+    "rol2_one_lag",
+    """WITH RECURSIVE d AS (SELECT l.*, b0, b1, b2, row_number() OVER (PARTITION BY l.ride_name, CAST(timestamp AS DATE) ORDER BY timestamp) AS k FROM v_lag1 l JOIN v_coef1 USING (ride_name)),
+    p AS (
+      SELECT ride_name, CAST(timestamp AS DATE) AS day, timestamp, k, CASE WHEN i = 1 THEN base ELSE greatest(base + b0 + b1*w1 + b2*r1, 0) END AS pred, CASE WHEN i = 1 THEN 0 ELSE b0 + b1*w1 + b2*r1 END AS res, hour(timestamp) >= 11 AND i > 1 AS fed, wait_time, r FROM d WHERE k = 1
+      UNION ALL
+      SELECT d.ride_name, p.day, d.timestamp, d.k, greatest(d.base + x.res, 0), x.res, hour(d.timestamp) >= 11, d.wait_time, d.r
+      FROM p JOIN d ON d.ride_name = p.ride_name AND CAST(d.timestamp AS DATE) = p.day AND d.k = p.k + 1,
+        LATERAL (SELECT d.b0 + d.b1*(CASE WHEN p.fed THEN p.pred ELSE p.wait_time END) + d.b2*(CASE WHEN p.fed THEN p.res ELSE p.r END) AS res) x)
+    SELECT ride_name, timestamp, round(pred, 5) AS prediction FROM p""",
+)
+def rol2_one(t):
+    d, m = two_stage(t, n=1)
+    return rounded(rollout.same_day(d, m, [K], T, W, "base", 1, 11).select(K, T, "prediction"), "prediction", n=5)
+
+
 @query("res1_two_stage")
 def res_two_stage(t):
     d, m = two_stage(t)

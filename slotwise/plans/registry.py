@@ -34,8 +34,9 @@ def _expand(sql: str) -> str:
     ctes = ",\n".join(f"{v} AS ({views[v]})" for v in views if v in needed)
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
 
 
