@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotwise.columns import as_list, require
 from slotwise.functions.calendar import floor_to, hhmm_minutes, seconds_of_day, time_key
-from slotwise.operators.scans import as_of, carry_backward, carry_forward
+from slotwise.operators.scans import as_of, carry
 
 
 def to_slots(df: DataFrame, key: str, ts: str, measure: str, minutes: int) -> DataFrame:
@@ -73,7 +73,8 @@ def densify(
         lo = F.lit(start).cast("date")
     if end:
         hi = F.lit(end).cast("date")
-    g = slot_grid(df.select(key).distinct(), key, ts, lo, hi, open_t, close_t, minutes)
+    entities = df.select(key).where(F.col(key).isNotNull()).distinct()
+    g = slot_grid(entities, key, ts, lo, hi, open_t, close_t, minutes)
     facts = df.select(key, ts, measure) if strict else to_slots(df, key, ts, measure, minutes)
     return g.join(facts, [key, ts], "left").select(key, ts, "date", measure)
 
@@ -185,8 +186,7 @@ def interpolate(df: DataFrame, keys: str | Sequence[str], ts: str, cols: Sequenc
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).cast("double").alias("v")))
         d = d.withColumn(f"_k_{c}", known)
-    d = carry_forward(d, keys, ts, {f"_k_{c}": f"_p_{c}" for c in cols})
-    d = carry_backward(d, keys, ts, {f"_k_{c}": f"_q_{c}" for c in cols})
+    d = carry(d, keys, ts, before={f"_k_{c}": f"_p_{c}" for c in cols}, after={f"_k_{c}": f"_q_{c}" for c in cols})
     us = lambda x: F.unix_micros(x.cast("timestamp"))
     for c in cols:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")

@@ -57,60 +57,61 @@ def row_index(
     return u.where(F.col(_KIND) == _DATA).drop(_CHUNK, _KIND, "_off", "_tot")
 
 
-def _carry(
-    df: DataFrame, keys: list[str], ts: str, cols: dict[str, str], chunk: Column, order: Sequence[str], forward: bool, inclusive: bool
-) -> DataFrame:
-    d = df.withColumn(_CHUNK, chunk)
-    pick = F.max_by if forward else F.min_by
-    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(ts, *order))
-    ends = d.groupBy(*keys, _CHUNK).agg(*[pick(c, at(c)).alias(c) for c in cols])
-    w2 = Window.partitionBy(*keys).orderBy(_CHUNK)
-    if forward:
-        past = w2.rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.last(c, ignorenulls=True).over(past).alias(c) for c in cols]
-    else:
-        coming = w2.rowsBetween(1, Window.unboundedFollowing)
-        carried = [F.first(c, ignorenulls=True).over(coming).alias(c) for c in cols]
-    summary = ends.select(*keys, _CHUNK, *carried, F.lit(_BEFORE if forward else _AFTER).alias(_KIND))
-    u = d.withColumn(_KIND, F.lit(_DATA)).unionByName(summary, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(_KIND, ts, *order)
-    edge = 0 if inclusive else 1
-    if forward:
-        span = w.rowsBetween(Window.unboundedPreceding, -edge)
-        u = u.withColumns({o: F.last(c, ignorenulls=True).over(span) for c, o in cols.items()})
-    else:
-        span = w.rowsBetween(edge, Window.unboundedFollowing)
-        u = u.withColumns({o: F.first(c, ignorenulls=True).over(span) for c, o in cols.items()})
-    return u.where(F.col(_KIND) == _DATA).drop(_CHUNK, _KIND)
-
-
-def carry_forward(
+def carry(
     df: DataFrame,
     keys: str | Sequence[str],
     ts: str,
-    cols: dict[str, str],
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
     chunk: Column | None = None,
     inclusive: bool = True,
     order: Sequence[str] = (),
 ) -> DataFrame:
-    """Last non-null value of each column up to the row (or strictly before it).
+    """Nearest non-null values behind and ahead of each row, without limit of distance.
 
-    ``cols`` maps input column to output column. The look-back is unlimited: each chunk
-    starts with the last values of all earlier ones. ``order`` settles equal stamps.
+    ``before`` and ``after`` map input columns to output columns; ``inclusive`` counts the
+    row itself. Each chunk starts with the last values of all earlier chunks and ends with
+    the first values of all later ones. ``order`` settles equal stamps.
     """
-    return _carry(df, as_list(keys), ts, cols, day_chunk(ts) if chunk is None else chunk, order, True, inclusive)
+    keys, before, after = as_list(keys), before or {}, after or {}
+    d = df.withColumn(_CHUNK, day_chunk(ts) if chunk is None else chunk)
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(ts, *order))
+    ends = d.groupBy(*keys, _CHUNK).agg(
+        *[F.max_by(c, at(c)).alias(f"_z_{c}") for c in before], *[F.min_by(c, at(c)).alias(f"_a_{c}") for c in after]
+    )
+    w2 = Window.partitionBy(*keys).orderBy(_CHUNK)
+    past, coming = w2.rowsBetween(Window.unboundedPreceding, -1), w2.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumns(
+        {
+            **{f"_z_{c}": F.last(f"_z_{c}", ignorenulls=True).over(past) for c in before},
+            **{f"_a_{c}": F.first(f"_a_{c}", ignorenulls=True).over(coming) for c in after},
+        }
+    )
+    u = d.withColumn(_KIND, F.lit(_DATA))
+    for kind, cols, p in ((_BEFORE, before, "z"), (_AFTER, after, "a")):
+        if cols:
+            rows = ends.select(*keys, _CHUNK, *[F.col(f"_{p}_{c}").alias(c) for c in cols], F.lit(kind).alias(_KIND))
+            u = u.unionByName(rows, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(_KIND, ts, *order)
+    edge = 0 if inclusive else 1
+    behind, ahead = w.rowsBetween(Window.unboundedPreceding, -edge), w.rowsBetween(edge, Window.unboundedFollowing)
+    u = u.withColumns(
+        {
+            **{o: F.last(c, ignorenulls=True).over(behind) for c, o in before.items()},
+            **{o: F.first(c, ignorenulls=True).over(ahead) for c, o in after.items()},
+        }
+    )
+    return u.where(F.col(_KIND) == _DATA).drop(_CHUNK, _KIND)
 
 
-def carry_backward(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    ts: str,
-    cols: dict[str, str],
-    chunk: Column | None = None,
-    order: Sequence[str] = (),
-) -> DataFrame:
+def carry_forward(df: DataFrame, keys: str | Sequence[str], ts: str, cols: dict[str, str], **kw) -> DataFrame:
+    """Last non-null value of each column up to the row."""
+    return carry(df, keys, ts, before=cols, **kw)
+
+
+def carry_backward(df: DataFrame, keys: str | Sequence[str], ts: str, cols: dict[str, str], **kw) -> DataFrame:
     """First non-null value of each column from the row onwards."""
-    return _carry(df, as_list(keys), ts, cols, day_chunk(ts) if chunk is None else chunk, order, False, True)
+    return carry(df, keys, ts, after=cols, **kw)
 
 
 def as_of(

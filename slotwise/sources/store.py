@@ -43,7 +43,7 @@ def upsert(batch: DataFrame, root: str, key: str, ts: str, batch_id: int, versio
     """Write a batch under its id; for equal (key, ts) the latest batch is the valid one.
 
     A repeated batch replaces its own partitions, so retries do not duplicate rows. Earlier
-    batches are not rewritten.
+    batches are not rewritten. ``version`` orders several rows of one key within the batch.
     """
     d = newest(batch, [key, ts], version, [c for c in batch.columns if c not in (key, ts)]) if version else batch
     d = d.withColumn("date", F.to_date(ts)).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))

@@ -69,6 +69,17 @@ def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def backfill_intervals(spark: SparkSession, landing: str, root: str, batch_id: int, first_date: str, last_date: str, length: str = "30 minutes") -> None:
+    """Batch path for late snapshots: the intervals of the given days are recomputed from all
+    files and upserted as a newer batch."""
+    d = open_readings(spark.read.schema(WRAPPER_SCHEMA).json(landing)).dropDuplicates(["ride_name", "event_time", "wait_time"])
+    days = F.to_date("event_time")
+    d = d.where((days >= F.lit(first_date).cast("date")) & (days <= F.lit(last_date).cast("date")))
+    g = d.groupBy(F.window("event_time", length).alias("w"), "ride_name").agg(F.avg("wait_time").alias("wait_time"), F.count(F.lit(1)).alias("data_points"))
+    g = g.select("ride_name", F.col("w.start").cast("timestamp_ntz").alias("timestamp"), "wait_time", "data_points")
+    store.upsert(g, root, "ride_name", "timestamp", batch_id)
+
+
 def freshness(stored: DataFrame, now: Column) -> DataFrame:
     """Age in minutes of the newest reading per ride."""
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.max("timestamp").cast("timestamp"))) / 60_000_000

@@ -11,9 +11,9 @@ def one(d, e):
 
 
 def test_names(make):
-    d = make([("Jim Button – Journey",), ("Ba-a-a Express",), ("Madame Freudenreich Curiosités",), ("",), (None,)], "n string")
-    assert one(d, text.service_key("n")) == ["jim_button_journey", "ba_a_a_express", "madame_freudenreich_curiosités", "unknown_ride", "unknown_ride"]
-    assert one(d, text.training_key("n"))[:3] == ["jim button  journey", "baaa express", "madame freudenreich curiosits"]
+    d = make([("Red Baron – Flyer",), ("Wa-a-y Express",), ("Madame Tortue Curiosités",), ("",), (None,)], "n string")
+    assert one(d, text.service_key("n")) == ["red_baron_flyer", "wa_a_y_express", "madame_tortue_curiosités", "unknown_ride", "unknown_ride"]
+    assert one(d, text.training_key("n"))[:3] == ["red baron  flyer", "waay express", "madame tortue curiosits"]
     e = make([("The Flying  Dutch – Tour! powered by Gas",)], "n string")
     assert one(e, text.display_key("n")) == ["flying dutch-tour"]
 

@@ -72,3 +72,28 @@ def test_bad_snapshots_give_no_rows(spark, make):
     )
     assert [(r.ride_name, r.timestamp) for r in flatten_snapshot(d).collect()] == [("R", None)]
     assert flatten_snapshot(d).where(F.col("land").isNotNull()).count() == 0
+
+
+def test_late_snapshots_reach_the_store_by_backfill(spark):
+    """A delivery far behind the watermark is dropped by the stream and repaired in batch."""
+    from slotwise.sources.stand_ins import Tables
+
+    e = Tables(spark, "/root/testdata/sf0.001").events
+    cut = F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz")
+    land, root, ck = (shared_folder(spark, n) for n in ("land", "root", "ck"))
+
+    def run():
+        s = ingest.tumbling_mean(ingest.open_readings(ingest.read_snapshots(spark, land)))
+        ingest.to_store(s, root, ck, "update").awaitTermination()
+
+    for part in (e.where(F.col("ts") >= cut), e.where(F.col("ts") < cut)):
+        snapshots(part).write.mode("append").json(land)
+        run()
+    before = store.read_store(spark, root, K, T)
+    assert before.where(F.col(T) < F.lit(dt.datetime(2024, 1, 14, 22)).cast("timestamp_ntz")).count() == 0
+    ingest.backfill_intervals(spark, land, root, 1000, "2024-01-01", "2024-01-31")
+    got = {(r[K], r[T]): (round(r[W], 9), r.data_points) for r in store.read_store(spark, root, K, T).collect()}
+    ok = snapshots(e.where(F.col("ts") >= cut)).unionByName(snapshots(e.where(F.col("ts") < cut)))
+    live = ingest.open_readings(ok)
+    want = live.groupBy(K, F.window("event_time", "30 minutes")["start"].cast("timestamp_ntz").alias(T)).agg(F.avg(W).alias(W), F.count("*").alias("n"))
+    assert got == {(r[K], r[T]): (round(r[W], 9), r.n) for r in want.collect()}
