@@ -1,6 +1,8 @@
 """Learned models: ridge and seasonal regression per key, boosted trees over all keys."""
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +37,7 @@ _FLUSH = 128  # keys held per task before their sums are passed on
 
 
 def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Per key the flattened matrix of sums of products of (1, x, y).
+    """Per key the sums of products of (1, x, y), upper triangle row by row.
 
     Each task sums its own rows with numpy, so one row per key and task is shuffled, then the
     elements are added up. A hot key is spread over all tasks that hold it.
@@ -49,7 +51,7 @@ def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
         def rows() -> pd.DataFrame:
             out = pd.DataFrame([*acc], columns=keys)
-            out["_g"] = [g.ravel() for g in acc.values()]
+            out["_g"] = [g[np.triu_indices(len(g))] for g in acc.values()]
             return out
 
         for pdf in batches:
@@ -74,8 +76,10 @@ def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def _solve(g: pd.Series, alpha: pd.Series) -> pd.Series:
     """(intercept, coefficients...) of ridge with a free intercept from the matrix of sums."""
     def one(flat, a):
-        p = int(round(np.sqrt(len(flat))))
-        m = np.asarray(flat).reshape(p, p)
+        p = int(round((np.sqrt(8 * len(flat) + 1) - 1) / 2))
+        m = np.zeros((p, p))
+        m[np.triu_indices(p)] = flat
+        m = np.triu(m) + np.triu(m, 1).T
         n, sx, sy = m[0, 0], m[0, 1:-1], m[0, -1]
         sxx = m[1:-1, 1:-1] - np.outer(sx, sx) / n + a * np.eye(p - 2)
         w = np.linalg.lstsq(sxx, m[1:-1, -1] - sx * sy / n, rcond=None)[0]
@@ -231,6 +235,12 @@ def search_ridge(df: DataFrame, keys: Sequence[str], ts: str, x: str, y: str, al
     return per_fold.groupBy(*keys, "alpha").agg(F.avg("mae").alias("mean_mae"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def random_candidates(space: dict[str, Sequence], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different parameter sets drawn from the value lists of ``space``."""
+    every = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    return random.Random(seed).sample(every, min(n, len(every)))
+
+
 def search_boosted(
     df: DataFrame, key: str, ts: str, y: str, features: Sequence[str], grid: Sequence[dict], folds: int = 3
 ) -> DataFrame:

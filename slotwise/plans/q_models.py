@@ -91,7 +91,8 @@ def tun1_single(t):
 @query("tun1_boosted_search")
 def tun1_boosted(t):
     d = cut_lineage(frame(t))
-    return models.search_boosted(d, K, T, W, FEATURES, [dict(trees=3, depth=2), dict(trees=3, depth=3, rate=0.3)], folds=2)
+    sets = models.random_candidates({"trees": [3], "depth": [2, 3], "rate": [0.1, 0.3], "leaf": [5, 20]}, 2)
+    return models.search_boosted(d, K, T, W, FEATURES, sets, folds=2)
 
 
 @query(
@@ -214,6 +215,21 @@ def rol5(t):
     return enrich.add_holiday_flags(f, t.holidays, "local_ts", {"DE": "is_german_holiday"})
 
 
+@query(
+    "rol5_future_weather",
+    """WITH e AS (SELECT max(CAST(timestamp AS DATE)) + 1 AS d0 FROM v_obs), f AS (SELECT ride_name, ((d0 + to_days(CAST(i AS INT)) + to_minutes(CAST(m AS BIGINT))) AT TIME ZONE 'Europe/Zurich') AT TIME ZONE 'UTC' AS timestamp
+      FROM v_keys, e, unnest(generate_series(0, 8)) AS a(i), unnest(generate_series(540, 1050, 30)) AS b(m)),
+    q AS (SELECT DISTINCT date_trunc('hour', timestamp) AS hr FROM f),
+    b AS (SELECT hr, arg_min(w.timestamp, (abs(epoch_us(w.timestamp) - epoch_us(hr)), w.timestamp)) AS wt FROM q, v_weather w WHERE abs(epoch_us(w.timestamp) - epoch_us(hr)) < 7*86400000000 GROUP BY 1)
+    SELECT f.ride_name, f.timestamp, round(coalesce(w.temperature, 20), 8) AS temperature, CASE WHEN coalesce(w.rain, 0) > 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rain, round(coalesce(w.rain, 0), 8) AS rain_mm
+    FROM f LEFT JOIN b ON b.hr = date_trunc('hour', f.timestamp) LEFT JOIN v_weather w ON w.timestamp = b.wt""",
+)
+def rol5_weather(t):
+    last = F.date_add(t.obs.agg(F.max(F.to_date(T)).alias("d")).scalar(), 1)
+    f = rollout.future_slots(t.obs.select(K).distinct(), K, T, last, 9).select(K, T)
+    return rounded(enrich.nearest_weather(f, t.weather, T), "temperature", "rain_mm", n=8)
+
+
 @query("rol5_slot_count_check", "WITH e AS (SELECT max(CAST(timestamp AS DATE)) + 1 AS d0 FROM v_obs) SELECT ride_name, CAST(d0 + CAST(i AS INT) AS DATE) AS local_date, CAST(18 AS BIGINT) AS n_slots, true AS ok FROM v_keys, e, unnest(generate_series(0, 6)) AS a(i)")
 def rol5_check(t):
     last = F.date_add(t.obs.agg(F.max(F.to_date(T)).alias("d")).scalar(), 1)

@@ -80,7 +80,7 @@ def win8(t):
 
 @query(
     "win9_attendance_score",
-    f"""WITH f AS (SELECT *, hour(timestamp) AS h, coalesce(avg(wait_time) OVER ({DAY} ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS r FROM v_hourly),
+    f"""WITH f AS (SELECT *, hour(timestamp) AS h, coalesce(avg(wait_time) OVER ({DAY} ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS r FROM (SELECT ride_name, timestamp, round(wait_time, 9) AS wait_time FROM v_hourly)),
     p AS (SELECT *, (rank() OVER (PARTITION BY ride_name ORDER BY ln(1+wait_time)) + (count(*) OVER (PARTITION BY ride_name, ln(1+wait_time)) - 1) / 2) / count(*) OVER (PARTITION BY ride_name) AS p1,
       (rank() OVER (PARTITION BY ride_name ORDER BY ln(1+r)) + (count(*) OVER (PARTITION BY ride_name, ln(1+r)) - 1) / 2) / count(*) OVER (PARTITION BY ride_name) AS p2,
       (rank() OVER (PARTITION BY ride_name, h ORDER BY wait_time) + (count(*) OVER (PARTITION BY ride_name, h, wait_time) - 1) / 2) / count(*) OVER (PARTITION BY ride_name, h) AS p3,
@@ -88,7 +88,8 @@ def win8(t):
     SELECT ride_name, timestamp, round(greatest(0, least(100, CASE WHEN n > 10 AND sd > 0 THEN 0.8*(0.7*p1*100+0.3*p2*100)+0.2*p3*100 ELSE 0.7*p1*100+0.3*p2*100 END)), 6) AS attendance_score FROM p""",
 )
 def win9(t):
-    d = cut_lineage(windows.day_features(t.hourly, K, T, W))
+    # ranks ask for equality, so the last bits of the slot averages must not matter
+    d = cut_lineage(windows.day_features(rounded(t.hourly, W, n=9), K, T, W))
     return rounded(windows.attendance_score(d, K, T, W).select(K, T, "attendance_score"), "attendance_score", n=6)
 
 
@@ -154,9 +155,9 @@ def win14(t):
     return d.select(K, T, n.alias("n_same_day"))
 
 
-@query("win15_rolling_6h", "SELECT ride_name, timestamp, round(avg(wait_time) OVER (PARTITION BY ride_name ORDER BY timestamp RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW), 6) AS mean_6h FROM v_obs")
+@query("win15_rolling_6h", "SELECT ride_name, timestamp, round(avg(wait_time) OVER (PARTITION BY ride_name ORDER BY timestamp RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW), 9) AS mean_6h FROM v_obs")
 def win15(t):
-    return rounded(windows.rolling_time_mean(t.obs, K, T, W, 6, "mean_6h").select(K, T, "mean_6h"), "mean_6h", n=6)
+    return rounded(windows.rolling_time_mean(t.obs, K, T, W, 6, "mean_6h").select(K, T, "mean_6h"), "mean_6h", n=9)
 
 
 @query("win16_latest_rows", "SELECT ride_name, timestamp, wait_time FROM v_obs QUALIFY row_number() OVER (PARTITION BY ride_name ORDER BY timestamp DESC) <= 48")

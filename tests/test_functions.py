@@ -57,3 +57,28 @@ def test_sequences(make):
 def test_truth_values(make):
     d = make([("True",), ("false",), ("1",), ("?",), (None,)], "x string")
     assert one(d, wx.truth_int("x")) == [1, 0, 1, None, None]
+
+
+def test_feature_lists_fail_when_short_and_trim_when_long(make):
+    import pytest
+
+    from slotwise.operators.filters import conform_features
+
+    d = make([("Monday", True, 2.5, 7)], "day_of_week string, closed boolean, temperature double, extra int")
+    got = conform_features(d, ["closed", "day_of_week", "temperature", "extra"], size=3)
+    assert got.columns == ["closed", "day_of_week", "temperature"] and tuple(got.first()) == (1.0, 0.0, 2.5)
+    with pytest.raises(ValueError, match="rain"):
+        conform_features(d, ["closed", "rain"])
+
+
+def test_too_many_categories_are_refused(spark):
+    import pytest
+
+    from slotwise.operators.features import categories, one_hot_columns
+
+    d = spark.range(20).select(F.col("id").cast("string").alias("k"))
+    assert len(categories(d, "k")) == 20
+    with pytest.raises(ValueError):
+        categories(d, "k", limit=10)
+    h = one_hot_columns(d, "k")
+    assert h.select(sum((F.col(c) for c in h.columns if c != "k"), F.lit(0)).alias("s")).distinct().collect()[0].s == 1
