@@ -36,9 +36,9 @@ def agg2_mean(t):
     return t.wide.groupBy(K).agg(R(F.avg(W)).alias("mean_wait"))
 
 
-@query("agg3_day_of_year_by_ride", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN wait_time END)", "v_daily", "dayofyear(timestamp)", "day_of_year", PRIOS, digits=6))
+@query("agg3_day_of_year_by_ride", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN wait_time END)", "v_daily", "dayofyear(timestamp)", "day_of_year", PRIOS, digits=9))
 def agg3(t):
-    return rounded(explore.pivot(t.daily, {"day_of_year": F.dayofyear(T)}, K, PRIOS, F.avg(W)), *PRIOS, n=6)
+    return rounded(explore.pivot(t.daily, {"day_of_year": F.dayofyear(T)}, K, PRIOS, F.avg(W)), *PRIOS, n=9)
 
 
 @query("agg4_closure_rate", sql_pivot("avg(CASE WHEN ride_name='{k}' THEN CAST(closed AS INT) END)", "v_grid5", "month(timestamp)", "month"))

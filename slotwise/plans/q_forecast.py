@@ -70,7 +70,7 @@ def forecast(t, model: str, src: DataFrame) -> DataFrame:
 
 def _register_baseline(i: int, model: str) -> None:
     src_sql, src = ("v_dsplit", "daily_split") if model == "last_year" else ("v_hsplit", "hourly_split")
-    digits = 6 if model == "last_year" else 8
+    digits = 9 if model == "last_year" else 8
 
     @query(f"bas{i}_{model}", f"SELECT ride_name, timestamp, split, round(yhat, {digits}) AS yhat FROM ({base_sql(model, src_sql)})")
     def _run(t):
@@ -101,12 +101,12 @@ def bas9(t):
 
 @query(
     "bas10_all_baselines",
-    " UNION ALL ".join(f"SELECT ride_name, timestamp, split, round(yhat, 6) AS yhat, '{m}' AS model FROM ({base_sql(m, 'v_dsplit')})" for m in MODELS),
+    " UNION ALL ".join(f"SELECT ride_name, timestamp, split, round(yhat, 9) AS yhat, '{m}' AS model FROM ({base_sql(m, 'v_dsplit')})" for m in MODELS),
 )
 def bas10(t):
     s = cut_lineage(t.daily_split)
     d = Baselines().all(s.where("split='train'"), s.where("split<>'train'"), t.holidays)
-    return rounded(d.select(K, T, "split", "yhat", "model"), "yhat", n=6)
+    return rounded(d.select(K, T, "split", "yhat", "model"), "yhat", n=9)
 
 
 @query(

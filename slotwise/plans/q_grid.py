@@ -69,11 +69,11 @@ def grid1_strict(t):
 @query(
     "grid2_missing_dates",
     """SELECT DISTINCT date FROM (SELECT CAST(unnest(generate_series((SELECT min(timestamp) FROM v_daily), (SELECT max(timestamp) FROM v_daily), INTERVAL 1 DAY)) AS DATE) AS date)
-    WHERE date NOT IN (SELECT CAST(timestamp AS DATE) FROM v_daily WHERE wait_time < 60000)""",
+    WHERE date NOT IN (SELECT CAST(timestamp AS DATE) FROM v_daily WHERE wait_time < 60)""",
 )
 def grid2(t):
     g = grid.slot_grid(t.daily.select("ride_name").distinct(), "ride_name", "timestamp", *grid.date_bounds(t.daily, "timestamp"), "00:00", "00:00", 60)
-    return grid.missing_dates(t.daily.where("wait_time < 60000"), g, "timestamp")
+    return grid.missing_dates(t.daily.where("wait_time < 60"), g, "timestamp")
 
 
 @query("grid3_mark_closed", "SELECT ride_name, timestamp, closed FROM v_c5")
@@ -148,7 +148,7 @@ INTERP_SQL = """, k AS (SELECT s.ride_name, s.timestamp, f.wait_time AS v,
       WINDOW w1 AS (PARTITION BY s.ride_name ORDER BY s.timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              w2 AS (PARTITION BY s.ride_name ORDER BY s.timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT ride_name, timestamp, round(coalesce(v, CASE WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN
-      v0 + (v1-v0) * ((epoch_us(timestamp)-epoch_us(t0))/(epoch_us(t1)-epoch_us(t0))) END, v0), 8) AS wait_time FROM k"""
+      v0 + (v1-v0) * ((epoch_us(timestamp)-epoch_us(t0))/(epoch_us(t1)-epoch_us(t0))) END, v0), 9) AS wait_time FROM k"""
 
 
 @query(
@@ -159,7 +159,7 @@ INTERP_SQL = """, k AS (SELECT s.ride_name, s.timestamp, f.wait_time AS v,
 def res3(t):
     spine = grid.series_spine(t.hourly, ["ride_name"], "timestamp", 5)
     d = spine.join(t.hourly, ["ride_name", "timestamp"], "left")
-    return grid.interpolate(d, "ride_name", "timestamp", ["wait_time"]).withColumn("wait_time", R("wait_time"))
+    return grid.interpolate(d, "ride_name", "timestamp", ["wait_time"]).withColumn("wait_time", R("wait_time", 9))
 
 
 @query(
@@ -183,7 +183,7 @@ def res4(t):
 def res5(t):
     preds = t.half.where(F.minute("timestamp") == 0).withColumnRenamed("wait_time", "p")
     merged = t.half.unionByName(t.hourly).select("ride_name", "timestamp").distinct().join(preds, ["ride_name", "timestamp"], "full")
-    return grid.interpolate(merged, "ride_name", "timestamp", ["p"]).select("ride_name", "timestamp", R("p").alias("wait_time"))
+    return grid.interpolate(merged, "ride_name", "timestamp", ["p"]).select("ride_name", "timestamp", R("p", 9).alias("wait_time"))
 
 
 @query(

@@ -211,8 +211,11 @@ def fea3(t):
     "fea4_recent_scaler",
     """WITH b AS (SELECT h.ride_name, w.temperature, w.rain, count(*) OVER (PARTITION BY h.ride_name) AS n FROM v_half h JOIN v_weather w USING (timestamp) WHERE h.timestamp >= '2024-01-20'),
     q1 AS (SELECT ride_name, quantile_cont(temperature, 0.25) a, quantile_cont(temperature, 0.75) b FROM b GROUP BY 1), c AS (SELECT b.* FROM b JOIN q1 USING (ride_name) WHERE temperature BETWEEN a - 1.5*(q1.b-a) AND q1.b + 1.5*(q1.b-a)),
-    q2 AS (SELECT ride_name, quantile_cont(rain, 0.25) a, quantile_cont(rain, 0.75) b FROM c GROUP BY 1), d AS (SELECT c.* FROM c JOIN q2 USING (ride_name) WHERE rain BETWEEN a - 1.5*(q2.b-a) AND q2.b + 1.5*(q2.b-a))
-    SELECT ride_name, round(avg(temperature), 6) AS temperature_mean, round(stddev_pop(temperature), 6) AS temperature_scale, round(avg(rain), 6) AS rain_mean, round(stddev_pop(rain), 6) AS rain_scale, true AS fitted FROM d GROUP BY 1""",
+    q2 AS (SELECT ride_name, quantile_cont(rain, 0.25) a, quantile_cont(rain, 0.75) b FROM c GROUP BY 1), d AS (SELECT c.* FROM c JOIN q2 USING (ride_name) WHERE rain BETWEEN a - 1.5*(q2.b-a) AND q2.b + 1.5*(q2.b-a)),
+    n AS (SELECT ride_name, count(*) AS n_rows FROM b GROUP BY 1), x AS (SELECT ride_name, count(*) AS n_valid, avg(temperature) tm, stddev_pop(temperature) ts, avg(rain) rm, stddev_pop(rain) rs FROM d GROUP BY 1),
+    j AS (SELECT n.ride_name, tm, ts, rm, rs, n_rows >= 10 AND coalesce(n_valid, 0) >= 5 AS fitted FROM n LEFT JOIN x USING (ride_name))
+    SELECT ride_name, round(CASE WHEN fitted THEN tm ELSE 15.0::DOUBLE END, 6) AS temperature_mean, round(CASE WHEN fitted THEN ts ELSE 8.0::DOUBLE END, 6) AS temperature_scale,
+      round(CASE WHEN fitted THEN rm ELSE 0.15::DOUBLE END, 6) AS rain_mean, round(CASE WHEN fitted THEN rs ELSE 0.36::DOUBLE END, 6) AS rain_scale, fitted FROM j""",
 )
 def fea4(t):
     d = t.half.where("timestamp >= '2024-01-20'").join(t.weather, T)

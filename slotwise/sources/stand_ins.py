@@ -54,10 +54,10 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        """Multi-year daily series."""
+        """Multi-year daily series in whole units, so that sums are exact in any order."""
         return self.orders.groupBy(
             F.col("o_orderpriority").alias("ride_name"), F.col("o_orderdate").alias("timestamp")
-        ).agg(F.avg("o_totalprice").alias("wait_time"))
+        ).agg(F.floor(F.avg("o_totalprice") / 1000).cast("double").alias("wait_time"))
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -112,7 +112,7 @@ SQL_VIEWS: dict[str, str] = {
     "v_slots": "SELECT ride_name, time_bucket(INTERVAL '5 minutes', timestamp) AS timestamp, avg(wait_time) AS wait_time FROM v_obs GROUP BY 1, 2",
     "v_half": "SELECT ride_name, time_bucket(INTERVAL '30 minutes', timestamp) AS timestamp, avg(wait_time) AS wait_time FROM v_obs GROUP BY 1, 2",
     "v_hourly": "SELECT ride_name, date_trunc('hour', timestamp) AS timestamp, avg(wait_time) AS wait_time FROM v_obs GROUP BY 1, 2",
-    "v_daily": "SELECT o_orderpriority AS ride_name, o_orderdate AS timestamp, avg(o_totalprice) AS wait_time FROM orders GROUP BY 1, 2",
+    "v_daily": "SELECT o_orderpriority AS ride_name, o_orderdate AS timestamp, CAST(floor(avg(o_totalprice) / 1000) AS DOUBLE) AS wait_time FROM orders GROUP BY 1, 2",
     "v_wide": "SELECT CAST(l_suppkey AS VARCHAR) AS ride_name, l_shipdate AS timestamp, avg(l_quantity) AS wait_time FROM lineitem GROUP BY 1, 2",
     "v_weather": "SELECT time_bucket(INTERVAL '30 minutes', ts) AS timestamp, avg(CASE WHEN event_type='view' THEN value/4 END) AS temperature, "
     "avg(CASE WHEN event_type='purchase' THEN value/40 END) AS rain, avg(CASE WHEN event_type='click' THEN value/8 END) AS wind FROM events GROUP BY 1",
