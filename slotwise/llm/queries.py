@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import substring
+from slotwise.llm import jaccard, substring
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,34 @@ def query(name: str, sql: str | None = None):
 )
 def op10(spark, sf_dir):
     return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op5_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    sh AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+        FROM d
+    ),
+    one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+    pair AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ),
+    reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM d
+        UNION
+        SELECT reach.x, pair.y FROM reach JOIN pair ON reach.y = pair.x
+    )
+    SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(m AS BIGINT) AS component_id
+    FROM sh JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
+    """,
+)
+def op5(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("class_id", "ver")
