@@ -15,8 +15,9 @@ that of S, H + 1 differences would be needed; so R needs only probe segments wor
 
 Sets with the same shingles are joined first, as one class. Each class is then verified against
 the class it shares most keys with; only where sets of *different* components still share keys
-(after a second allocation) are further pairs formed. So groups of many near copies do not
-expand into pairs, and every link between different components is tested.
+(after a second allocation) are further pairs formed, those whose parity sketches do not already
+prove them too different. So groups of many near copies do not expand into pairs, and every link
+between different components is tested.
 
 Shingles are compared by 64-bit hashes (see ``words``).
 """
@@ -154,6 +155,35 @@ def _sets(k: int):
     return run
 
 
+def _sketches(k: int, bands: Bands):
+    """Parity sketches for the set's own band and the one below: bit i tells whether an odd number of shingles hash to i.
+
+    Two sketches differ in no more bits than the sets differ in shingles.
+    """
+
+    def rows(doc, h, n, sid, band, own):
+        wide = np.where((n > 0) & (band >= 0), -(-bands.high[np.maximum(band, 0)] // 16), 0)
+        base = np.r_[0, np.cumsum(wide)]
+        used = wide[doc] > 0
+        doc, h = doc[used], h[used]
+        bit = mix(h ^ _SEG) % (wide[doc] * 64).astype(np.uint64)
+        bits = np.zeros(base[-1], np.uint64)
+        np.bitwise_xor.at(bits, base[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        lists = pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(bits.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(n), own)), lists], names=["sid", "own", "bits"])
+
+    def run(batches):
+        for b in batches:
+            for g in groups(b.column("text"), lower=True):
+                doc, h, n = shingle_sets(g, k)
+                sid = _set_ids(doc, h, n).view(np.int64)
+                own = bands.of(n)
+                yield rows(doc, h, n, sid, own, True)
+                yield rows(doc, h, n, sid, own - 1, False)
+
+    return run
+
+
 def _allocated(rows: DataFrame, bands: Bands, probe_only: bool) -> DataFrame:
     """Per set and role: its shared segments, and the units that they must still deliver (``gap`` > 0).
 
@@ -231,9 +261,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = need.select("sid", "n", "own", "w", "gap", F.explode("keys").alias("key")).select("sid", "n", "own", "w", "gap", "key.*")
     by_seg = each.groupBy("sid", "n", "own", "w", "gap", "seg").agg(F.sum("cost").alias("cost"), F.collect_set("h").alias("hs"))
     order = F.expr("sum(w) OVER (PARTITION BY sid, own ORDER BY cost, seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    probe = by_seg.withColumn("upto", order).where("upto - w < gap").select(F.col("sid").alias("r"), F.col("n").alias("rn"), F.explode("hs").alias("h")).join(label.withColumnRenamed("node", "r"), "r", "left")
-    target = known.where("own").select("h", F.col("sid").alias("s"), F.col("n").alias("sn"), F.col("label").alias("sl"))
-    pairs = probe.join(target, "h").where(f"r <> s AND sn <= rn AND sn * 100 >= rn * {bands.t} AND coalesce(label, r) <> sl").select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct()
+    contested = classes.join(open_rows.select("sid").distinct(), "sid").select("id", "ver")
+    sketch = stored(docs.join(maybe_broadcast(contested, 32), ["id", "ver"]).select("text").mapInArrow(_sketches(k, bands), "sid long, own boolean, bits array<long>").dropDuplicates(["sid", "own"]), "sketches")
+    probe = by_seg.withColumn("upto", order).where("upto - w < gap").select(F.col("sid").alias("r"), F.col("n").alias("rn"), "own", F.explode("hs").alias("h")).join(label.withColumnRenamed("node", "r"), "r", "left")
+    probe = probe.join(sketch.toDF("r", "own", "bits"), ["r", "own"])
+    target = known.where("own").join(mixed, "h").select("h", F.col("sid").alias("s"), F.col("n").alias("sn"), F.col("label").alias("sl")).join(sketch.where("own").select(F.col("sid").alias("s"), F.col("bits").alias("other")), "s")
+    differ = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (probe.h == target.h) & F.expr(f"r <> s AND sn <= rn AND sn * 100 >= rn * {bands.t} AND coalesce(label, r) <> sl") & (differ * (100 + bands.t) <= (F.col("rn") + F.col("sn")) * (100 - bands.t))
+    pairs = probe.join(target, near).select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct()
     more = _verified(pairs, docs, classes, k, bands)
     label = stored(components(linked.union(more), "a", "b"), "labels")
 
