@@ -234,7 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     measured = stored(docs.select("given", "ver", "text").mapInArrow(_measure(k), f"given {kind}, ver long, n long, sid long"), "sets")
     filled = measured.where("n > 0").withColumn("id", F.coalesce(F.col("given").cast("long"), F.lit(-(1 << 63))))
     classes = stored(filled.groupBy("sid").agg(F.min(F.struct("id", "ver")).alias("first"), F.min("given").alias("least")).select("sid", "first.*", "least"), "classes")
-    copies = filled.join(classes.select("sid", F.col("id").alias("i"), F.col("ver").alias("v")), "sid").where("id <> i OR ver <> v").select("id", "ver").distinct()
+    copies = stored(filled.join(classes.select("sid", F.col("id").alias("i"), F.col("ver").alias("v")), "sid").where("id <> i OR ver <> v").select("id", "ver").distinct(), "copies")
     single = docs.join(maybe_broadcast(copies, 32), ["id", "ver"], "left_anti")
 
     keys = single.select("text").mapInArrow(_keys(k, bands), "h long, sid long, tag long")
