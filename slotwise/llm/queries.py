@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import jaccard, substring
+from slotwise.llm import jaccard, packing, quality, substring, toxicity
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ def op10(spark, sf_dir):
 )
 def op5(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("class_id", "ver")
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op3_quality_neighbours")
+def op3(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_toxicity_ftrl")
+def op6(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = np.ones(256, bool)  # all but digits, letters and bytes of non-ASCII characters
+_MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text handled at a time; bounds the working arrays, not the result.
@@ -61,6 +63,7 @@ class Group:
     hi: int
     hashes: np.ndarray
     first: np.ndarray
+    starts: np.ndarray  # first byte of each word in the column's buffer
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start positions (in ``hashes``) of all k-word windows inside one document, and their hashes."""
@@ -92,13 +95,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
-def _hash_block(raw: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(raw: np.ndarray, breaks: np.ndarray, lower: bool, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start bytes and hashes of the words of ``raw``; a word also ends at each of ``breaks``."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edge = np.ones(n + 1, bool)
-    space = _SPACE[raw]
+    space = gaps[raw]
     edge[:-1] = space
     edge[breaks] = True
     solid = ~space
@@ -111,8 +114,8 @@ def _hash_block(raw: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.nd
     return starts, mix((c[ends] - c[starts]) * down[starts])
 
 
-def groups(col: pa.Array, lower: bool = False) -> Iterator[Group]:
-    """The words of a text column, some documents at a time.
+def groups(col: pa.Array, lower: bool = False, letters: bool = False) -> Iterator[Group]:
+    """The words of a text column, some documents at a time; with ``letters`` words are runs of letters, digits and non-ASCII bytes.
 
     A document longer than ``BLOCK`` forms a group of its own and is hashed in blocks cut at white space.
     """
@@ -133,7 +136,7 @@ def groups(col: pa.Array, lower: bool = False) -> Iterator[Group]:
                         e += int(found[0])
                         break
                     e, step = min(e + step, b), step * 2
-            s, h = _hash_block(raw[a:e], off[lo : hi + 1][(off[lo : hi + 1] >= a) & (off[lo : hi + 1] <= e)] - a, lower)
+            s, h = _hash_block(raw[a:e], off[lo : hi + 1][(off[lo : hi + 1] >= a) & (off[lo : hi + 1] <= e)] - a, lower, _MARKS if letters else _SPACE)
             starts.append(s + a)
             hashes.append(h)
             if e == b:
@@ -141,5 +144,29 @@ def groups(col: pa.Array, lower: bool = False) -> Iterator[Group]:
             a = e
         s = starts[0] if len(starts) == 1 else np.concatenate(starts)
         h = hashes[0] if len(hashes) == 1 else np.concatenate(hashes)
-        yield Group(lo, hi, h, np.searchsorted(s, off[lo : hi + 1]))
+        yield Group(lo, hi, h, np.searchsorted(s, off[lo : hi + 1]), s)
         lo = hi
+
+
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
+
+
+def word_shapes(raw: np.ndarray, off: np.ndarray, g: Group) -> np.ndarray:
+    """Hash of each word's shape: capitals, small letters, digits and other characters, runs collapsed."""
+    b = int(off[g.hi])
+    out, starts = [np.zeros(0, np.uint64)], g.starts
+    for i in range(0, len(starts), BLOCK // 4):
+        x = int(starts[i])
+        y = int(starts[i + BLOCK // 4]) if i + BLOCK // 4 < len(starts) else b
+        kind = _CLASS[raw[x:y]]
+        opens = np.zeros(y - x, bool)
+        opens[starts[i : i + BLOCK // 4] - x] = True
+        keep = opens.copy()
+        keep[1:] |= kind[1:] != kind[:-1]
+        keep &= ~_SPACE[raw[x:y]]
+        kind, first = kind[keep], np.flatnonzero(opens[keep])
+        up, down = _BYTES.upto(len(kind) + 1)
+        c = _sums((kind.astype(np.uint64) + np.uint64(1)) * up[: len(kind)])
+        out.append(mix((c[np.r_[first[1:], len(kind)]] - c[first]) * down[first]))
+    return np.concatenate(out)
