@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import jaccard, packing, quality, substring, toxicity
+from slotwise.llm import decontam, jaccard, packing, quality, substring, toxicity
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,32 @@ def op3(spark, sf_dir):
 @query("op6_toxicity_ftrl")
 def op6(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op4_decontaminate",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ),
+    b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ),
+    item AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1:p + n], ' ') AS seq FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS p FROM item)),
+    spot AS (
+        SELECT doc_id, n, p, array_to_string(w[p + 1:p + n], ' ') AS seq
+        FROM (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS p FROM d, (SELECT DISTINCT n FROM item))
+    ),
+    hit AS (SELECT doc_id, item_id, n, p FROM spot JOIN win USING (n, seq)),
+    cover AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+    names AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN names USING (doc_id)
+    """,
+)
+def op4(spark, sf_dir):
+    return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
