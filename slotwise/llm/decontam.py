@@ -17,7 +17,7 @@ from slotwise.llm.common import maybe_broadcast, stored
 
 WINDOW, GRAM = 10, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK, _WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BREAK, _BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     d = _keyed(docs, id_col, text_col)
     h = hits(d.select("id", "ver", "text"), items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")))
-    rows = d.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("id").alias("__id"), F.col("ver").alias("__ver"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = d.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("id").alias("__id"), F.col("ver").alias("__ver"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _BREAK_ANY_CASE), "")).cast("long").alias("n_words"))
     out = rows.join(maybe_broadcast(h.toDF("__id", "__ver", "n_hit", "found"), 40 + 16 * F.size("found")), ["__id", "__ver"], "left")
     return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_sort("found"), F.array().cast("array<string>")).alias("items"))
 
