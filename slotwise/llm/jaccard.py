@@ -235,7 +235,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     filled = measured.where("n > 0").withColumn("id", F.coalesce(F.col("given").cast("long"), F.lit(-(1 << 63))))
     classes = stored(filled.groupBy("sid").agg(F.min(F.struct("id", "ver")).alias("first"), F.min("given").alias("least")).select("sid", "first.*", "least"), "classes")
     copies = stored(filled.join(classes.select("sid", F.col("id").alias("i"), F.col("ver").alias("v")), "sid").where("id <> i OR ver <> v").select("id", "ver").distinct(), "copies")
-    single = docs.join(maybe_broadcast(copies, 32), ["id", "ver"], "left_anti")
+    # an outer join and a filter, as Spark does not share the shuffle of an anti join below
+    single = docs.join(maybe_broadcast(copies, 32).withColumn("copy", F.lit(True)), ["id", "ver"], "left").where("copy IS NULL")
 
     keys = single.select("text").mapInArrow(_keys(k, bands), "h long, sid long, tag long")
     shared = keys.alias("a").join(keys.alias("b"), F.expr("a.h = b.h AND a.sid <> b.sid AND ((a.tag | b.tag) & 1) = 1"), "left_semi")
