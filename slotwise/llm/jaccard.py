@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # an outer join and a filter, as Spark does not share the shuffle of an anti join below
     single = docs.join(maybe_broadcast(copies, 32).withColumn("copy", F.lit(True)), ["id", "ver"], "left").where("copy IS NULL")
 
-    keys = single.select("text").mapInArrow(_keys(k, bands), "h long, sid long, tag long")
+    keys = single.select("text").mapInArrow(_keys(k, bands), "h long NOT NULL, sid long NOT NULL, tag long NOT NULL")
     shared = keys.alias("a").join(keys.alias("b"), F.expr("a.h = b.h AND a.sid <> b.sid AND ((a.tag | b.tag) & 1) = 1"), "left_semi")
     rows = stored(_allocated(shared, bands, False).select("sid", "n", "own", F.explode("keys").alias("key")).select("sid", "n", "own", "key.*"), "shared")
 
