@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import decontam, jaccard, packing, quality, substring, toxicity
+from slotwise.llm import decontam, jaccard, lm, packing, pii, quality, substring, toxicity
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,13 @@ def op6(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op2_personal_data")
+def op2(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query("op9_lm_bloom")
+def op9(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
