@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import decontam, jaccard, lm, packing, pii, quality, substring, toxicity
+from slotwise.llm import decontam, jaccard, licenses, lm, neighbours, packing, pii, quality, substring, toxicity
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,13 @@ def op2(spark, sf_dir):
 @query("op9_lm_bloom")
 def op9(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op7_nn_descent")
+def op7(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
