@@ -129,19 +129,23 @@ def _score(model, hot, bits: int, total: int, kinds: int, floor: int):
                 doc, token, before = _tokens(g)
                 n = g.hi - g.lo
                 both, alone = _estimates(_pair(before, token), filters, bits), _estimates(token, filters, bits)
-                left = np.where(before == _START, float(floor), _estimates(before, filters, bits))
+                left = np.where(before == _START, float(floor), np.r_[0.0, alone[:-1]])  # a predecessor is the token before
                 p = WEIGHT * np.minimum(both / np.maximum(left, 1), 1) + (1 - WEIGHT) * (alone + 1) / low
                 at = np.searchsorted(hot_h, token)
                 at[at == len(hot_h)] = 0
                 known = hot_h[at] == token if len(hot_h) else np.zeros(len(token), bool)
                 c = hot_c[at] if len(hot_h) else np.zeros(len(token))
                 base = np.bincount(doc[known], weights=np.log10((c[known] + 1) / low), minlength=n)
-                rare = np.unique(np.stack([doc[~known].astype(np.uint64), token[~known]]), axis=1, return_counts=True) if not known.all() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-                cut = pa.array(np.searchsorted(rare[0][0], np.arange(n + 1, dtype=np.uint64)).astype(np.int32))
+                rare_doc, rare = doc[~known], token[~known]
+                order = np.lexsort((rare, rare_doc))
+                rare_doc, rare = rare_doc[order], rare[order]
+                first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])]) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[first, len(rare)])
+                cut = pa.array(np.searchsorted(rare_doc[first], np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(x).slice(g.lo, n) for x in ("given", "uid")), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)), pa.array(base),
-                        pa.array(np.bincount(doc, weights=np.log10(p), minlength=n)), pa.ListArray.from_arrays(cut, pa.array(rare[0][1].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(rare[1].astype(np.int64))),
+                        pa.array(np.bincount(doc, weights=np.log10(p), minlength=n)), pa.ListArray.from_arrays(cut, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64))),
                     ],
                     names=["given", "uid", "n_tokens", "known", "base", "score", "rare", "times"],
                 )
@@ -166,8 +170,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     bits = max(64, -(-min(MAX_BITS, BITS_PER_TOKEN * total) // BLOCKS))
     grams = train.mapInArrow(_counts(True), "g long, c long").repartition(F.shiftrightunsigned("g", 54)).sortWithinPartitions("g")
     filters = np.zeros((BLOCKS, -(-bits // 8)), np.uint8)
-    for r in grams.mapInArrow(_blocks(bits), "block int, bits binary").toLocalIterator():  # BLOCKS rows, MAX_BITS in all
-        filters[r.block] |= np.frombuffer(r.bits, np.uint8)
+    made = stored(grams.mapInArrow(_blocks(bits), "block int, bits binary"), "filter")
+    for a in range(0, BLOCKS, BLOCKS // 8):  # BLOCKS rows, MAX_BITS in all
+        for r in made.where(F.col("block").between(a, a + BLOCKS // 8 - 1)).collect():
+            filters[r.block] |= np.frombuffer(r.bits, np.uint8)
     level, room = 8 * 64, HOT
     for r in words.groupBy("level").count().orderBy(F.desc("level")).collect():
         if r["count"] > room:
