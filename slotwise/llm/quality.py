@@ -20,7 +20,7 @@ from slotwise.llm.words import groups, mix, text_buffers, word_shapes
 
 #: Bounds of what is fitted: labelled rows of either class, hashed terms, dimensions.
 PER_CLASS, TERMS, RANK = 2000, 4096, 48
-NEIGHBOURS, POWER, BLOCK_ROWS = 25, 4, 1024
+NEIGHBOURS, POWER, BLOCK_ROWS = 25, 4, 256
 
 
 def _features(col: pa.Array):
@@ -34,7 +34,8 @@ def _features(col: pa.Array):
         same = np.zeros(len(docs), bool)
         same[1:] = (g.hashes[1:] == g.hashes[:-1]) & (docs[1:] == docs[:-1])
         at, pairs = g.grams(2)
-        distinct = np.unique(np.stack([docs[at].astype(np.uint64), pairs]), axis=1)[0].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        first = np.unique(mix(pairs ^ (docs[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1]
+        distinct = docs[at[first]]
         step = lambda x: np.minimum(np.sqrt(np.clip(x, 0, 1)) * 8, 7).astype(np.int64)
         steps = [step(np.bincount(docs[same], minlength=n) / size), 8 + step(1 - np.bincount(distinct, minlength=n) / np.maximum(size - 1, 1))]
         doc = np.concatenate([docs, docs, *[np.arange(n)] * 2])

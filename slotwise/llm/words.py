@@ -19,7 +19,7 @@ _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text handled at a time; bounds the working arrays, not the result.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class _Powers:
