@@ -17,6 +17,13 @@ def as_list(x: str | Sequence[str] | None) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def micros(stamp: str | Column) -> Column:
+    """Microseconds of a TIMESTAMP_NTZ since 1970, from a difference of stamps, so that no time zone takes part."""
+    at = F.col(stamp) if isinstance(stamp, str) else stamp
+    span = at - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (span.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+
+
 def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

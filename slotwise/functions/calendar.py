@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotwise.columns import micros
+
 
 def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -176,7 +178,7 @@ def within_local_hours(ts: str | Column, zone: str, lo: str = "09:00", hi: str =
 
 def age_text(ts: str | Column, now: str | Column) -> Column:
     """Age of a reading in words."""
-    mins = F.floor((F.unix_micros(c(now).cast("timestamp")) - F.unix_micros(c(ts).cast("timestamp"))) / 60_000_000)
+    mins = F.floor((micros(c(now)) - micros(c(ts))) / 60_000_000)
     hours = F.floor(mins / 60)
     return (
         F.when(mins < 1, "Just updated")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import attach
+from slotwise.columns import attach, micros
 from slotwise.functions.calendar import day_time_key, same_weekday_last_year, time_key
 from slotwise.operators.scans import as_of, day_chunk, over_previous_rows
 
@@ -180,7 +180,7 @@ def nearest_in_time(
     longer than the reach.
     """
     size = (max_days + 1) * 86_400_000_000
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    us = lambda c: micros(c)
     h = hist.where(F.col(value).isNotNull()).groupBy(key, ts).agg(F.max(value).alias("_hv"))
     h = h.select(
         key, us(ts).alias("_us"), F.weekday(ts).alias("_wd"), "_hv", F.lit(None).cast("timestamp_ntz").alias(target)

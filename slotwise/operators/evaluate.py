@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, attach
+from slotwise.columns import as_list, attach, micros
 from slotwise.functions.order_stats import exact_quantiles, exact_quantiles_of
 from slotwise.functions.stats import safe_corr
 
@@ -121,8 +121,8 @@ def forecast_summary(
     """Distribution, peak and lowest hour, direction and component correlation per key."""
     aggs = [
         F.avg(pred).alias("mean"), F.stddev_pop(pred).alias("std"), F.min(pred).alias("min"), F.max(pred).alias("max"),
-        F.hour(F.max_by(ts, F.struct(F.col(pred), -F.unix_micros(F.col(ts).cast("timestamp"))))).alias("peak_hour"),
-        F.hour(F.min_by(ts, F.struct(F.col(pred), F.unix_micros(F.col(ts).cast("timestamp"))))).alias("lowest_hour"),
+        F.hour(F.max_by(ts, F.struct(F.col(pred), -micros(ts)))).alias("peak_hour"),
+        F.hour(F.min_by(ts, F.struct(F.col(pred), micros(ts)))).alias("lowest_hour"),
         F.when(F.max_by(pred, ts) > F.min_by(pred, ts), "increasing").otherwise("decreasing").alias("trend"),
     ]
     if base and resid:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +87,20 @@ def recent_scaler(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str],
     return j.select(*ks, *out, ok.alias("fitted"))
 
 
-def categories(df: DataFrame, col: str, limit: int = 500) -> list[str]:
-    """Sorted distinct values, as they become column names; more than ``limit`` is an error."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values; index it instead of one-hot columns")
-    return sorted(str(r[0]) for r in rows)
+def categories(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct values, as they become column names (``one_hot_vector`` needs no columns)."""
+    return sorted(str(r[0]) for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+def one_hot_vector(df: DataFrame, col: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """One sparse vector per row for any number of categories; NULL and unseen values share the last place."""
+    named = lambda d: d.withColumn("_c", F.col(col).cast("string"))
+    steps = [
+        StringIndexer(inputCol="_c", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        OneHotEncoder(inputCol="_i", outputCol=out, dropLast=False, handleInvalid="keep"),
+    ]
+    model = Pipeline(stages=steps).fit(named(fit_on if fit_on is not None else df))
+    return model.transform(named(df)).drop("_c", "_i")
 
 
 def one_hot_columns(df: DataFrame, col: str, values: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, attach
+from slotwise.columns import as_list, attach, micros
 from slotwise.functions.calendar import floor_to
 from slotwise.functions.order_stats import exact_quantiles
 from slotwise.operators.scans import carry_forward
@@ -34,12 +34,12 @@ def _with_prior(df: DataFrame, key: str, ts: str, measure: str, closed: str, day
     more than its slots and those of its prior one.
     """
     known = F.col(measure).isNotNull() & ~F.col(closed)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = micros(ts)
     period = F.make_dt_interval(days=F.lit(days))
     d = df.withColumn("_b", floor_to(ts, minutes))
     visit = d.where(known).select(
         key, (F.col("_b") + period).alias("_b"),
-        F.struct(F.unix_micros((F.col(ts) + period).cast("timestamp")).alias("u"), F.col(measure).alias("v")).alias("_cand"),
+        F.struct(micros(F.col(ts) + period).alias("u"), F.col(measure).alias("v")).alias("_cand"),
     )
     u = d.unionByName(visit, allowMissingColumns=True)
     bucket = Window.partitionBy(key, "_b")

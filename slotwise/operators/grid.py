@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, require
+from slotwise.columns import as_list, micros, require
 from slotwise.functions.calendar import floor_to, hhmm_minutes, seconds_of_day, time_key
 from slotwise.operators.scans import as_of, carry
 
@@ -39,11 +39,16 @@ def chunk_ranges(one: DataFrame, lo: Column, hi: Column, days: int) -> DataFrame
     return d.select("range_start", F.least(F.date_add("range_start", days - 1), F.col("_hi")).alias("range_end"))
 
 
+def dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread by ``cols`` over the session's shuffle partitions; a stated number keeps AQE from merging rows that are about to multiply."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def slot_grid(
     keys: DataFrame, key: str, ts: str, lo: Column, hi: Column, open_t: str, close_t: str, minutes: int
 ) -> DataFrame:
-    """Dates x slots for every key. Rows are generated in place, nothing is joined."""
-    g = date_spine(keys, lo, hi)
+    """Dates x slots for every key. Nothing is joined; the dates are dealt to all tasks before slots are generated."""
+    g = dealt(date_spine(keys, lo, hi), key, "date")
     mins = F.sequence(F.lit(hhmm_minutes(open_t)), F.lit(hhmm_minutes(close_t)), F.lit(minutes))
     g = g.withColumn("_m", F.explode(mins))
     stamp = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("_m"))
@@ -136,7 +141,7 @@ def series_spine(df: DataFrame, keys: Sequence[str], ts: str, minutes: int) -> D
     slot = floor_to(ts, minutes)
     ext = df.groupBy(*keys).agg(F.min(slot).alias("_lo"), F.max(slot).alias("_hi"))
     months = F.sequence(F.trunc(F.col("_lo").cast("date"), "month"), F.col("_hi").cast("date"), F.expr("INTERVAL 1 MONTH"))
-    d = ext.withColumn("_mo", F.explode(months))
+    d = dealt(ext.withColumn("_mo", F.explode(months)), *keys, "_mo")
     a = F.greatest(F.col("_mo").cast("timestamp_ntz"), F.col("_lo"))
     z = F.least(
         F.add_months("_mo", 1).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes)), F.col("_hi")
@@ -187,10 +192,9 @@ def interpolate(df: DataFrame, keys: str | Sequence[str], ts: str, cols: Sequenc
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).cast("double").alias("v")))
         d = d.withColumn(f"_k_{c}", known)
     d = carry(d, keys, ts, before={f"_k_{c}": f"_p_{c}" for c in cols}, after={f"_k_{c}": f"_q_{c}" for c in cols})
-    us = lambda x: F.unix_micros(x.cast("timestamp"))
     for c in cols:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
-        share = F.try_divide(us(F.col(ts)) - us(p["t"]), us(q["t"]) - us(p["t"]))
+        share = F.try_divide(micros(ts) - micros(p["t"]), micros(q["t"]) - micros(p["t"]))
         d = d.withColumn(
             c,
             F.coalesce(F.col(c).cast("double"), F.when(p.isNotNull() & q.isNotNull(), p["v"] + (q["v"] - p["v"]) * share), p["v"]),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.columns import as_list, attach
+from slotwise.columns import as_list, attach, micros
 from slotwise.functions import calendar as cal
 from slotwise.operators.split import expanding_folds
 
@@ -115,7 +115,7 @@ def feature_array(cols: Sequence[str | Column]) -> Column:
 # seasonal regression ------------------------------------------------------------------
 def fourier(ts: str, yearly: int = 10, weekly: int = 3, daily: int = 4) -> dict[str, Column]:
     """Sine and cosine terms of the year, week and day."""
-    days = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(86_400_000_000.0)
+    days = micros(ts) / F.lit(86_400_000_000.0)
     out: dict[str, Column] = {}
     for name, period, order in (("yearly", 365.25, yearly), ("weekly", 7.0, weekly), ("daily", 1.0, daily)):
         for k in range(1, order + 1):
@@ -140,7 +140,7 @@ class SeasonalModel:
         self.coef: DataFrame | None = None
 
     def _x(self, df: DataFrame) -> DataFrame:
-        years = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(365.25 * 86_400_000_000.0) - 40.0
+        years = lambda c: micros(c) / F.lit(365.25 * 86_400_000_000.0) - 40.0
         t = years(F.col(self.ts))
         hinges = [F.greatest(t - years(F.lit(c).cast("timestamp_ntz")), F.lit(0.0)) for c in self.changepoints]
         return df.withColumn("_x", feature_array([t, *hinges, *fourier(self.ts, *self.orders).values(), *self.regressors]))
@@ -186,19 +186,28 @@ class BoostedModel:
     def inputs(self) -> list[str]:
         return ["key_mean", "key_std", *self.features]
 
+    def _complete(self) -> Column:
+        ok = F.lit(True)
+        for x in self.features:
+            ok = ok & F.col(x).isNotNull()
+        return ok
+
     def _assemble(self, df: DataFrame) -> DataFrame:
         d = attach(df, self.stats, [self.key]).fillna(0.0, subset=["key_mean", "key_std"])
-        va = VectorAssembler(inputCols=self.inputs, outputCol="_v", handleInvalid="skip")
+        va = VectorAssembler(inputCols=self.inputs, outputCol="_v", handleInvalid="keep")
         return va.transform(d)
 
     def fit(self, train: DataFrame) -> BoostedModel:
-        d = train.where(F.col(self.y).isNotNull())
+        """Rows without target or with a NULL feature are left out here, and only here."""
+        d = train.where(F.col(self.y).isNotNull() & self._complete())
         self.stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
         self.model = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params).fit(self._assemble(d))
         return self
 
     def predict(self, df: DataFrame, out: str = "yhat") -> DataFrame:
-        return self.model.transform(self._assemble(df)).withColumnRenamed("_p", out).drop("_v", "key_mean", "key_std")
+        """Every row of ``df``; the forecast is NULL where a feature is."""
+        d = self.model.transform(self._assemble(df))
+        return d.withColumn(out, F.when(self._complete(), F.col("_p"))).drop("_v", "_p", "key_mean", "key_std")
 
     def importances(self, spark) -> DataFrame:
         """Feature importances, largest first."""

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list
+from slotwise.columns import as_list, micros
 
 _CHUNK, _HOME, _KIND = "_chunk", "_home", "_kind"
 _BEFORE, _DATA, _AFTER = 0, 1, 2
@@ -169,7 +169,7 @@ def over_previous_time(
     """
     keys = as_list(keys)
     reach = seconds * 1_000_000
-    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = df.withColumn("_us", micros(ts))
     frame = lambda w: w.orderBy("_us").rangeBetween(-reach + 1, 0)
     return _in_blocks(d, keys, F.col("_us"), max(86_400_000_000, reach), reach, exprs, frame).drop("_us")
 

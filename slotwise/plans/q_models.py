@@ -199,7 +199,7 @@ def rol3(t):
 def rol4(t):
     d, m = two_stage(t)
     f = cut_lineage(coming(t, d, 7))
-    days = [str(r[0]) for r in f.select(F.to_date(T)).distinct().orderBy(F.to_date(T)).limit(7).collect()]
+    days = [str(r[0]) for r in f.select(F.to_date(T)).distinct().orderBy(F.to_date(T)).collect()]
     return rollout.incremental(d, f, m, K, T, W, "base", shared_folder(t.spark, "rollout"), days)
 
 

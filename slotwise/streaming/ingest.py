@@ -82,7 +82,7 @@ def backfill_intervals(spark: SparkSession, landing: str, root: str, batch_id: i
 
 def freshness(stored: DataFrame, now: Column) -> DataFrame:
     """Age in minutes of the newest reading per ride."""
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.max("timestamp").cast("timestamp"))) / 60_000_000
+    age = (micros(now) - micros(F.max("timestamp"))) / 60_000_000
     return stored.groupBy("ride_name").agg(F.max("timestamp").alias("latest"), F.floor(age).alias("age_minutes"))
 
 

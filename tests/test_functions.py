@@ -71,14 +71,27 @@ def test_feature_lists_fail_when_short_and_trim_when_long(make):
         conform_features(d, ["closed", "rain"])
 
 
-def test_too_many_categories_are_refused(spark):
-    import pytest
-
-    from slotwise.operators.features import categories, one_hot_columns
+def test_categories_have_no_limit(spark):
+    from slotwise.operators.features import categories, one_hot_columns, one_hot_vector
 
     d = spark.range(20).select(F.col("id").cast("string").alias("k"))
     assert len(categories(d, "k")) == 20
-    with pytest.raises(ValueError):
-        categories(d, "k", limit=10)
+    many = spark.range(3000).selectExpr("CAST(id AS STRING) AS k").union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    v = one_hot_vector(many, "k", "v").collect()
+    assert len(v) == 3001 and len({int(r.v.indices[0]) for r in v}) == 3001 and all(r.v.values.tolist() == [1.0] for r in v)
     h = one_hot_columns(d, "k")
     assert h.select(sum((F.col(c) for c in h.columns if c != "k"), F.lit(0)).alias("s")).distinct().collect()[0].s == 1
+
+
+def test_micros_know_no_time_zone(spark):
+    from slotwise.columns import micros
+
+    d = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-31 01:30:00' AS a, TIMESTAMP_NTZ'2024-03-31 02:30:00.000001' AS b, CAST(NULL AS TIMESTAMP_NTZ) AS n, TIMESTAMP_NTZ'1969-12-31 23:59:59.5' AS old")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Europe/Zurich"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            r = d.select((micros("b") - micros("a")).alias("d"), micros("a").alias("a"), micros("n").alias("n"), micros("old").alias("o")).first()
+            assert (r.d, r.a, r.n, r.o) == (3_600_000_001, 1_711_848_600_000_000, None, -500_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -151,3 +151,13 @@ def test_metrics_edge_cases(spark):
     s = {r.k: r for r in evaluate.score(d, "k", "y", "p").collect()}
     assert s["a"].smape_pos == pytest.approx(100.0) and s["a"].smape_both is None
     assert s["c"].r2 is None and s["c"].mae == 1.0
+
+
+def test_boosted_prediction_keeps_every_row(spark):
+    from slotwise.operators.models import BoostedModel
+
+    rows = [("a", float(i % 7), float(i)) for i in range(60)] + [("a", 3.0, None), ("b", 2.0, 1.0)]
+    d = spark.createDataFrame(rows, "k string, y double, x double")
+    got = BoostedModel("k", "y", ["x"], trees=2, depth=2).fit(d).predict(d)
+    assert got.count() == len(rows)
+    assert got.where("yhat IS NULL").count() == 1 and got.where("x IS NULL AND yhat IS NULL").count() == 1
