@@ -14,7 +14,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (and those linked with nothing)."""
+    """The document with the smallest id of each group of near duplicates (and those linked with nothing).
+
+    Rows without an id and repeated rows of one id are not told apart and stay.
+    """
     groups = jaccard.jaccard_components(docs)
     gone = stored(groups.where("component_id <> doc_id").select("doc_id", "ver"), "duplicates")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("ver"))
