@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm import decontam, jaccard, licenses, lm, neighbours, packing, pii, quality, substring, toxicity
+from slotwise.llm import decontam, fim, jaccard, licenses, lm, neighbours, packing, pii, quality, sharding, substring, toxicity, whitening
 from slotwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,64 @@ def op7(spark, sf_dir):
 @query("op8_license_scan")
 def op8(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+#: crc32 by bytes, from the right-shifting table of polynomial 0xEDB88320.
+_CRC32 = """
+    poly AS (
+        SELECT list(v ORDER BY b) AS tab
+        FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS t(b))
+    ),
+    crc AS (
+        SELECT doc_id, t, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(0, len(x) // 2)]),
+            lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
+        FROM (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents), poly
+    )"""
+
+
+@query(
+    "op11_shard_mixture",
+    f"""
+    WITH {_CRC32.strip()},
+    d AS (SELECT doc_id, coalesce('=' || source, '') AS s, md5('11:' || doc_id) AS h FROM documents),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS r, count(*) OVER (PARTITION BY s) AS n,
+            (CAST('0x' || md5('11:' || s[2:])[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS phase
+        FROM d
+    ),
+    sorted AS (SELECT doc_id, row_number() OVER (ORDER BY (r + phase) / n, s, r) - 1 AS g, count(*) OVER () AS total FROM ranked),
+    cut AS (SELECT doc_id, g, total, g * 8 // total AS shard FROM sorted)
+    SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,
+        CAST(g - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+    FROM cut JOIN crc USING (doc_id)
+    """,
+)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return sharding.interleave(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+    h AS (SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS p, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS q, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+    c AS (
+        SELECT doc_id, t, n, least(p, q) AS a, greatest(p, q) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM h
+    ),
+    o AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM o
+    """,
+)
+def op12(spark, sf_dir):
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
