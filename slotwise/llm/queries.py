@@ -172,8 +172,8 @@ _CRC32 = """
     """,
 )
 def op11(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return sharding.interleave(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.interleave(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), columns=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query(

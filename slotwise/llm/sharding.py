@@ -11,6 +11,7 @@ ordering key (about the square root of the row count) and, from the bucket count
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,6 @@ from slotwise.llm.common import stored
 _NEW = ("size", "text_crc32", "law", "shard", "slot")
 
 
-def _q(name: str) -> Column:
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
 def _hashable(kind: DataType) -> bool:
     text = kind.simpleString()
     return not isinstance(kind, (MapType, VariantType)) and "map<" not in text and "variant" not in text
@@ -35,14 +32,15 @@ def _unit(c: Column) -> Column:
     return F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
 
 
-def interleave(docs: DataFrame, shards: int = 8, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """The rows and columns of ``docs`` with ``size`` (UTF-8 bytes and one), ``text_crc32``, ``law`` (``rows``), ``shard`` from 0 and ``slot`` (place in the shard, gapless from 0).
+def interleave(docs: DataFrame, shards: int = 8, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 11, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns or the ``columns`` named, with ``size`` (UTF-8 bytes and one), ``text_crc32``, ``law`` (``rows``), ``shard`` from 0 and ``slot`` (place in the shard, gapless from 0).
 
     Shards differ by one row at most. Null texts are empty; null sources form a source of their own; null and
     repeated ids are rows like any others (ties are broken by a hash of the whole row; only equal rows
     change places). A column named like a new one is replaced by it. Fewer rows than shards leave some shards
-    empty; an empty table gives no rows. Select the columns wanted: the others are not read. ``docs`` is read twice and
-    must give the same rows each time (store the result of a ``limit`` or of a random sample first).
+    empty; an empty table gives no rows. Columns that are not named travel no further than the first read (texts need
+    not be shuffled to be placed). ``docs`` is read twice and must give the same rows each time (store the
+    result of a ``limit`` or of a random sample first).
     """
     total = docs.count()
     level = max(1, math.isqrt(total))
@@ -73,12 +71,13 @@ def interleave(docs: DataFrame, shards: int = 8, source_col: str = "source", id_
     ranked = measured.join(counts, ["__s", "__b"]).withColumn("__r", F.col("__before") + rank - 1)
     fraction = (F.col("__r") + F.col("__phase")) / F.col("__n")
     ranked = ranked.withColumn("__f", fraction).withColumn("__c", F.least(F.floor(F.col("__f") * level), F.lit(level - 1)))
-    return _cut(ranked, names, hidden, total, level, shards)
+    carried = {h: n for h, n in zip(hidden, names) if n not in _NEW and (columns is None or n in columns)}
+    return _cut(ranked, carried, total, level, shards)
 
 
-def _cut(ranked: DataFrame, names: list[str], hidden: list[str], total: int, level: int, shards: int) -> DataFrame:
-    """Rows in the order of their fractions, in shards of equal counts."""
-    kept = stored(ranked.select(*hidden, "__s", "__size", "__crc", "__r", "__f", "__c"), "ranked")
+def _cut(ranked: DataFrame, carried: dict[str, str], total: int, level: int, shards: int) -> DataFrame:
+    """Rows in the order of their fractions, in shards of equal counts; ``carried`` columns under their own names."""
+    kept = stored(ranked.select(*carried, "__s", "__size", "__crc", "__r", "__f", "__c"), "ranked")
     cells = kept.groupBy("__c").agg(F.count("*").alias("__k"))
     # one row per bucket: the square root of the row count
     cells = cells.select("__c", F.coalesce(F.sum("__k").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
@@ -86,7 +85,7 @@ def _cut(ranked: DataFrame, names: list[str], hidden: list[str], total: int, lev
     out = kept.join(cells, "__c").withColumn("__g", F.col("__before") + place - 1)
     out = out.withColumn("__shard", F.expr(f"int(__g * {shards} div {max(total, 1)})"))
     slot = F.expr(f"__g - (__shard * bigint({total}) + {shards - 1}) div {shards}")
-    old = [F.col(h).alias(n) for n, h in zip(names, hidden) if n not in _NEW]
+    old = [F.col(h).alias(n) for h, n in carried.items()]
     return out.select(*old, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
