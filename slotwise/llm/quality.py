@@ -10,6 +10,8 @@ with weights that grow with their similarity.
 """
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,33 +49,47 @@ def _features(col: pa.Array):
 
 def _term_rows(batches):
     for b in batches:
-        label = b.column("label").to_pylist()
+        label, key = b.column("label").to_pylist(), b.column("key").to_pylist()
         for lo, n, doc, term, tf in _features(b.column("text")):
             cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[lo : lo + n], pa.int32()), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(tf))], names=["label", "terms", "tf"]
-            )
+                [pa.array(key[lo : lo + n], pa.int64()), pa.array(label[lo : lo + n], pa.int32()), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(tf))],
+                names=["key", "label", "terms", "tf"],
+            )
 
 
 class Model:
     """Inverse document frequencies, projection, and the labelled unit vectors."""
 
-    def __init__(self, rows: list):
-        self.labels = np.array([r.label for r in rows], np.float32)
-        self.prior = float(self.labels.mean()) if len(rows) else 0.5
-        x = np.zeros((len(rows), TERMS), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r.terms] = r.tf
-        self.idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-        x *= self.idf
+    _PARTS = ("labels", "idf", "projection", "known")
+
+    def __init__(self, labels: np.ndarray, idf: np.ndarray, projection: np.ndarray, known: np.ndarray):
+        self.labels, self.idf, self.projection, self.known = labels, idf, projection, known
+        self.prior = float(labels.mean()) if len(labels) else 0.5
+
+    @classmethod
+    def learn(cls, labels: np.ndarray, x: np.ndarray) -> Model:
+        """From the log term frequencies ``x``, one row per labelled document; ``x`` is used up."""
+        idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+        x *= idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        rank = min(RANK, *x.shape) if len(rows) else 0
+        rank = min(RANK, *x.shape) if len(x) else 0
         basis = np.random.default_rng(7).standard_normal((TERMS, min(TERMS, rank + 8))).astype(np.float32)
         for _ in range(4):  # subspace iteration
             basis, _ = np.linalg.qr(x.T @ (x @ basis))
         _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
-        self.projection = np.ascontiguousarray((basis @ right.T)[:, :rank], np.float32)
-        self.known = self._unit(x @ self.projection)
+        projection = np.ascontiguousarray((basis @ right.T)[:, :rank], np.float32)
+        return cls(labels, idf, projection, cls._unit(x @ projection))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{k: getattr(self, k) for k in self._PARTS})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Model:
+        parts = np.load(io.BytesIO(raw))
+        return cls(*(parts[k] for k in cls._PARTS))
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -101,15 +117,37 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, per_class: int) -> DataFrame:
-    """At most ``per_class`` training rows of either label, by hashed id; held-out ids (fold 0) never enter."""
+    """``text, label, key`` of at most ``per_class`` training rows of either label, by hashed id; held-out ids (fold 0) never enter.
+
+    An id that occurs in several rows gives one of them, the text with the smallest hash.
+    """
     ok = labels.where(F.col(label).isin(0, 1) & (fold(F.col(id_col), folds) != 0)).select(F.col(id_col), F.col(label).cast("int").alias("label")).distinct()
     part = lambda y: ok.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
-    return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), id_col).select("text", "label")
+    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), id_col)
+    one = found.groupBy(id_col, "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", "label", F.xxhash64(id_col).alias("key"))
+
+
+def _learn(batches):
+    """The model of the rows of one task, as one row; no row without any."""
+    tables = [b for b in batches if len(b)]
+    n = sum(len(b) for b in tables)
+    x, labels, at = np.zeros((n, TERMS), np.float32), np.zeros(n, np.float32), 0
+    for b in tables:
+        labels[at : at + len(b)] = b.column("label").to_numpy()
+        terms, tf = b.column("terms"), b.column("tf")
+        x[at + np.repeat(np.arange(len(b)), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy()] = tf.flatten().to_numpy()
+        at += len(b)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([Model.learn(labels, x).to_bytes()], pa.binary())], names=["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> Model:
+    """The model, learned in one task from a sample of bounded size; the driver gets its few megabytes only."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, folds, PER_CLASS)
-    return Model(sample.mapInArrow(_term_rows, "label int, terms array<int>, tf array<float>").collect())
+    terms = sample.mapInArrow(_term_rows, "key long, label int, terms array<int>, tf array<float>")
+    found = terms.repartition(1).sortWithinPartitions("key", "label").mapInArrow(_learn, "model binary").collect()
+    return Model.from_bytes(bytes(found[0].model)) if found else Model.learn(np.zeros(0, np.float32), np.zeros((0, TERMS), np.float32))
 
 
 def _score(model: Model):
@@ -136,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold. ``docs`` must not have a column ``score``-suffixed ``__score``."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
     model = fit(docs, labels, label, id_col, text_col, folds)
     # the text travels under another name, so that the scorer can drop its own copy
     wide = docs.withColumns({"__kept": F.struct(*docs.columns)}).select("__kept", F.col(text_col).alias("text"))

@@ -73,7 +73,7 @@ def _train(batches):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that are not zero (at most ``2 ** BITS + 1``); coordinate ``2 ** BITS`` is the intercept."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, folds, PER_CLASS)
-    rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(_train, "dim long, w double").collect()
+    rows = sample.select("text", "label").repartition(1).sortWithinPartitions(F.xxhash64("text"), "label").mapInArrow(_train, "dim long, w double").collect()
     return np.array([r.dim for r in rows], np.int64), np.array([r.w for r in rows], float)
 
 
