@@ -24,6 +24,22 @@ def micros(stamp: str | Column) -> Column:
     return (span.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
+def instant(stamp: str | Column) -> Column:
+    """TIMESTAMP of a TIMESTAMP_NTZ read as UTC, whatever the session's time zone."""
+    return F.timestamp_micros(micros(stamp))
+
+
+def wall_clock(at: Column) -> Column:
+    """TIMESTAMP_NTZ in UTC of a TIMESTAMP, whatever the session's time zone."""
+    return from_micros(F.unix_micros(at))
+
+
+def from_micros(us: Column) -> Column:
+    """TIMESTAMP_NTZ from microseconds since 1970."""
+    seconds = (us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

@@ -152,13 +152,14 @@ def snk2(t):
     """SELECT ride_name, timestamp, CAST(timestamp AS DATE) AS date, round(CASE WHEN timestamp >= '2024-01-20' THEN wait_time + 2 WHEN timestamp >= '2024-01-10' THEN wait_time + 1 ELSE wait_time END, 8) AS wait_time FROM v_hourly""",
 )
 def snk3(t):
+    """Two writers use the same batch numbers; a retry keeps its place and drops dates that it no longer has."""
     root = shared_folder(t.spark, "store")
-    store.upsert(t.hourly, root, "ride_name", "timestamp", 0)
-    later = t.hourly.where("timestamp >= '2024-01-10'").withColumn("wait_time", F.col("wait_time") + 1)
-    newest = t.hourly.where("timestamp >= '2024-01-20'").withColumn("wait_time", F.col("wait_time") + 2)
-    store.upsert(later, root, "ride_name", "timestamp", 1)
-    store.upsert(newest, root, "ride_name", "timestamp", 2)
-    store.upsert(later, root, "ride_name", "timestamp", 1)  # a retry changes nothing
+    up = lambda d, i, who: store.upsert(d, root, "ride_name", "timestamp", i, writer=who)
+    plus = lambda first, n: t.hourly.where(f"timestamp >= '{first}'").withColumn("wait_time", F.col("wait_time") + n)
+    up(t.hourly, 0, "a")
+    up(plus("2024-01-03", 5), 1, "a")
+    up(plus("2024-01-20", 2), 1, "b")
+    up(plus("2024-01-10", 1), 1, "a")
     return store.read_store(t.spark, root, "ride_name", "timestamp").withColumn("wait_time", R("wait_time"))
 
 
@@ -172,6 +173,14 @@ def snk4(t):
 
 @query("snk5_expire", "SELECT ride_name, timestamp, CAST(timestamp AS DATE) AS date, round(wait_time, 8) AS wait_time FROM v_hourly WHERE timestamp >= '2024-01-15 12:00:00'")
 def snk5(t):
+    root = shared_folder(t.spark, "store")
+    store.upsert(t.hourly, root, "ride_name", "timestamp", 0)
+    store.retain(t.spark, root, "ride_name", "timestamp", "2024-01-15 12:00:00")
+    return store.read_store(t.spark, root, "ride_name", "timestamp").withColumn("wait_time", R("wait_time"))
+
+
+@query("snk5_compact", "SELECT ride_name, timestamp, CAST(timestamp AS DATE) AS date, round(wait_time, 8) AS wait_time FROM v_hourly WHERE timestamp >= '2024-01-15 12:00:00'")
+def snk5_compact(t):
     root, kept = shared_folder(t.spark, "store"), shared_folder(t.spark, "store")
     store.upsert(t.hourly, root, "ride_name", "timestamp", 0)
     store.compact(t.spark, root, kept, "ride_name", "timestamp", cutoff="2024-01-15 12:00:00")
