@@ -75,8 +75,9 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(r.len for r in test.select("len").distinct().collect())  # at most WINDOW of them
     if not lengths:
         return docs.select("id", "ver").where("false").withColumns({"n_hit": F.lit(0), "found": F.array().cast("array<string>")})
-    marks = reduce(DataFrame.union, [fingerprints(test.where(F.col("len") == n), n).select(F.explode("marks").alias("mark")) for n in lengths])
-    marks = stored(marks.distinct(), "marks")
+    # outer: of a plain explode Spark infers a filter on the size of ``marks`` and expands its whole history below it
+    marks = reduce(DataFrame.union, [fingerprints(test.where(F.col("len") == n), n).select(F.explode_outer("marks").alias("mark")) for n in lengths])
+    marks = stored(marks.where("mark IS NOT NULL").distinct(), "marks")
     whole = stored(test.select("item_id", F.explode(_windows(F.col("w"), F.lit(0), F.size("w") - F.col("len") + 1, F.col("len"))).alias("x")).select("item_id", "x.len", "x.seq").distinct(), "windows")
 
     d = docs.select("id", "ver", words(F.col("text")).alias("w"))
