@@ -13,16 +13,40 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.columns import as_list, micros
+from slotwise.columns import as_list, attach, micros
+from slotwise.session import stored
 
 _CHUNK, _HOME, _KIND = "_chunk", "_home", "_kind"
 _BEFORE, _DATA, _AFTER = 0, 1, 2
+#: Rows of a key in one day above which the day is split.
+CHUNK_ROWS = 200_000
 
 
 def day_chunk(ts: str) -> Column:
     return F.to_date(F.col(ts))
 
 
+def with_even_chunks(df: DataFrame, keys: Sequence[str], ts: str, rows: int = CHUNK_ROWS, most: int = 128) -> DataFrame:
+    """``df`` with the chunk of each row: its day, or for days with more than ``rows`` rows of a key one of up to ``most`` stretches of about equal row counts.
+
+    The starts of the stretches come from counts per minute, so rows of one minute stay together. Only days
+    that are split enter the join, a table that is stored first so that its size is known.
+    """
+    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
+    if df.groupBy(*keys, day.alias("_day")).count().where(F.col("count") > rows).isEmpty():
+        return df.withColumn(_CHUNK, day)
+    cells = df.groupBy(*keys, day.alias("_day"), F.date_trunc("minute", F.col(ts)).cast("timestamp_ntz").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, "_day")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"_before": before, "_total": F.sum("_n").over(w)}).where(F.col("_total") > rows)
+    piece = F.floor(F.col("_before") / F.greatest(F.lit(rows), F.col("_total") / most))
+    starts = cells.groupBy(*keys, "_day", piece.alias("_piece")).agg(F.min("_cell").alias("_cell"))
+    split = stored(starts.groupBy(*keys, "_day").agg(F.collect_list("_cell").alias("_starts")), "chunks")
+    d = attach(df.withColumn("_day", day), split, [*keys, "_day"])
+    begun = F.array_max(F.filter("_starts", lambda s: s <= F.col(ts)))
+    return d.withColumn(_CHUNK, F.coalesce(begun, F.col("_day"))).drop("_day", "_starts")
+
+
 def row_index(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -66,15 +90,17 @@ def carry(
     chunk: Column | None = None,
     inclusive: bool = True,
     order: Sequence[str] = (),
+    even: int | None = None,
 ) -> DataFrame:
     """Nearest non-null values behind and ahead of each row, without limit of distance.
 
     ``before`` and ``after`` map input columns to output columns; ``inclusive`` counts the
     row itself. Each chunk starts with the last values of all earlier chunks and ends with
-    the first values of all later ones. ``order`` settles equal stamps.
+    the first values of all later ones. ``order`` settles equal stamps. With ``even`` days
+    of more rows than that are split (``with_even_chunks``): for raw readings, which a key may pile up in one day.
     """
     keys, before, after = as_list(keys), before or {}, after or {}
-    d = df.withColumn(_CHUNK, day_chunk(ts) if chunk is None else chunk)
+    d = with_even_chunks(df, keys, ts, even) if even else df.withColumn(_CHUNK, day_chunk(ts) if chunk is None else chunk)
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct(ts, *order))
     ends = d.groupBy(*keys, _CHUNK).agg(
         *[F.max_by(c, at(c)).alias(f"_z_{c}") for c in before], *[F.min_by(c, at(c)).alias(f"_a_{c}") for c in after]
@@ -115,18 +141,18 @@ def carry_backward(df: DataFrame, keys: str | Sequence[str], ts: str, cols: dict
 
 
 def as_of(
-    left: DataFrame, right: DataFrame, keys: str | Sequence[str], ts: str, cols: dict[str, str], strict: bool = False
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], ts: str, cols: dict[str, str], strict: bool = False, even: int | None = None
 ) -> DataFrame:
     """Last non-null values of ``right`` at or before (``strict``: before) each row of ``left``.
 
     Both sides meet in one union ordered by time: no range join, no join back. Of several
-    right rows with one stamp the greatest counts.
+    right rows with one stamp the greatest counts. ``even`` as in ``carry``.
     """
     keys = as_list(keys)
     r = right.select(*keys, ts, *[F.col(c).alias(f"_r_{c}") for c in cols], F.lit(1 if strict else 0).alias("_side"))
     u = left.withColumn("_side", F.lit(0 if strict else 1)).unionByName(r, allowMissingColumns=True)
     out = carry_forward(
-        u, keys, ts, {f"_r_{c}": f"_o_{o}" for c, o in cols.items()}, order=["_side", *[f"_r_{c}" for c in cols]]
+        u, keys, ts, {f"_r_{c}": f"_o_{o}" for c, o in cols.items()}, order=["_side", *[f"_r_{c}" for c in cols]], even=even
     )
     out = out.where(F.col("_side") == (0 if strict else 1))
     return out.select(*left.columns, *[F.col(f"_o_{o}").alias(o) for o in cols.values()])
@@ -174,6 +200,27 @@ def over_previous_time(
     return _in_blocks(d, keys, F.col("_us"), max(86_400_000_000, reach), reach, exprs, frame).drop("_us")
 
 
+def trailing_time_mean(df: DataFrame, keys: str | Sequence[str], ts: str, y: str, seconds: int, out: str, even: int = CHUNK_ROWS) -> DataFrame:
+    """Mean of ``y`` over the rows of the key in (t - seconds, t], NULL if there is none.
+
+    Every row arrives at its stamp and leaves ``seconds`` later, as a second, slim row with the sign turned. The
+    frame's sum and count are then running totals of arrivals and departures up to t, taken in even
+    chunks that start with the totals of all chunks before them; the length of the frame plays no part.
+    """
+    keys = as_list(keys)
+    d = df.withColumns({"_y": F.col(y).cast("double"), "_m": F.col(y).isNotNull().cast("long"), _KIND: F.lit(_DATA)})
+    gone = df.where(F.col(y).isNotNull()).select(*keys, (F.col(ts) + F.make_dt_interval(secs=F.lit(seconds))).alias(ts), (-F.col(y).cast("double")).alias("_y"), F.lit(-1).cast("long").alias("_m"), F.lit(_AFTER).alias(_KIND))
+    u = with_even_chunks(d.unionByName(gone, allowMissingColumns=True), keys, ts, even)
+    totals = u.groupBy(*keys, _CHUNK).agg(F.sum("_y").alias("_y"), F.sum("_m").alias("_m"))
+    past = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select(*keys, _CHUNK, F.sum("_y").over(past).alias("_y"), F.sum("_m").over(past).alias("_m"), F.lit(_BEFORE).alias(_KIND))
+    u = u.unionByName(heads, allowMissingColumns=True)
+    # heads carry no stamp and come first; rows of one stamp count together
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(F.col(ts).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mean = F.when(F.sum("_m").over(w) > 0, F.sum("_y").over(w) / F.sum("_m").over(w))
+    return u.withColumn(out, mean).where(F.col(_KIND) == _DATA).drop("_y", "_m", _KIND, _CHUNK)
+
+
 def _in_blocks(d: DataFrame, keys: list[str], pos: Column, size: int, reach: int, exprs, frame) -> DataFrame:
     spill = F.pmod(pos, F.lit(size)) >= size - reach
     d = d.withColumn(_HOME, F.floor(pos / size))

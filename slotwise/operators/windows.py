@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotwise.columns import as_list, attach
 from slotwise.functions.calendar import flag
 from slotwise.functions.order_stats import average_rank
-from slotwise.operators.scans import day_chunk, over_previous_rows, over_previous_time
+from slotwise.operators.scans import day_chunk, over_previous_rows, trailing_time_mean
 
 # Columns whose value depends on the target itself or on later rows of the day.
 LEAKY = (
@@ -110,7 +110,7 @@ def valid_targets(df: DataFrame, ts: str, n: int = 48, lo: int = 11, hi: int = 1
 
 def rolling_time_mean(df: DataFrame, keys: str | Sequence[str], ts: str, y: str, hours: int, out: str) -> DataFrame:
     """Mean over (t - hours, t]."""
-    return over_previous_time(df, keys, ts, hours * 3600, lambda w: {out: F.avg(y).over(w)})
+    return trailing_time_mean(df, keys, ts, y, hours * 3600, out)
 
 
 def template_row(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import text
 from slotwise.operators import baselines, enrich, evaluate, grid, sets
+from slotwise.operators.scans import CHUNK_ROWS
 from slotwise.plans.registry import query
 
 R = lambda c, n=8: F.round(c, n)
@@ -139,7 +140,7 @@ def joi12(t):
 )
 def joi13(t):
     h = t.hourly.where(F.col(W) > 40).withColumnRenamed(W, "last_known")
-    return enrich.as_of(t.obs.select(K, T), h, K, T, {"last_known": "last_known"}).withColumn("last_known", R("last_known"))
+    return enrich.as_of(t.obs.select(K, T), h, K, T, {"last_known": "last_known"}, even=CHUNK_ROWS).withColumn("last_known", R("last_known"))
 
 
 @query(

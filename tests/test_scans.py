@@ -105,3 +105,54 @@ def test_partition_count_does_not_matter(spark, series):
         runs.append(by_key(scans.carry_forward(to_spark(spark, series), "k", "ts", {"v": "f"}), "f"))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     pd.testing.assert_series_equal(*runs)
+
+
+def busy_day(n=20_000):
+    """One key-day with 90 % of the rows, some stamps shared, and quiet days around it."""
+    rng = np.random.default_rng(8)
+    us = np.r_[rng.integers(0, 86_400, int(n * 0.9)) * 1_000_000, rng.integers(-40 * 86_400, 40 * 86_400, n // 10) * 1_000_000]
+    ts = pd.Timestamp("2024-01-15") + pd.to_timedelta(us, "us")
+    return pd.DataFrame({"k": np.where(np.arange(n) % 50 == 0, "quiet", "hot"), "ts": ts, "v": np.where(rng.random(n) < 0.5, np.nan, rng.integers(1, 1000, n) / 8)})
+
+
+def largest_partition(df):
+    return df.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0]
+
+
+def test_busy_day_is_split_evenly(spark):
+    p = busy_day()
+    d = scans.with_even_chunks(to_spark(spark, p), ["k"], "ts", rows=500)
+    assert 300 < largest_partition(d) < 800
+    capped = scans.with_even_chunks(to_spark(spark, p), ["k"], "ts", rows=10, most=20)
+    assert len(p) / 40 < largest_partition(capped) < len(p) / 15
+    bounds = d.groupBy("k", "_chunk").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).toPandas().sort_values(["k", "a"])
+    same = bounds.k.to_numpy()[1:] == bounds.k.to_numpy()[:-1]
+    assert (bounds.a.to_numpy()[1:] > bounds.z.to_numpy()[:-1])[same].all()
+    assert scans.with_even_chunks(to_spark(spark, p), ["k"], "ts").select(F.count_distinct("k", "_chunk")).first()[0] == p.assign(d=p.ts.dt.date).groupby(["k", "d"]).ngroups
+
+
+@pytest.mark.parametrize("even", [500, 10**9])
+def test_trailing_time_mean(spark, even):
+    p = busy_day()
+    got = scans.trailing_time_mean(to_spark(spark, p), "k", "ts", "v", 6 * 3600, "m", even=even)
+    assert got.columns == ["k", "ts", "v", "m"]
+    got = got.toPandas().sort_values(["k", "ts", "v"]).reset_index(drop=True)
+    want = []
+    for k, g in p.groupby("k"):
+        us, v = g.ts.astype("datetime64[us]").astype("int64").to_numpy(), g.v.to_numpy()
+        order = np.argsort(us, kind="stable")
+        us, v = us[order], v[order]
+        total, seen = np.r_[0, np.nancumsum(v)], np.r_[0, np.cumsum(~np.isnan(v))]
+        lo, hi = np.searchsorted(us, us - 6 * 3600 * 10**6, "right"), np.searchsorted(us, us, "right")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            want.append(pd.DataFrame({"k": k, "ts": us, "v": v, "m": (total[hi] - total[lo]) / (seen[hi] - seen[lo])}))
+    want = pd.concat(want).sort_values(["k", "ts", "v"]).reset_index(drop=True)
+    np.testing.assert_allclose(got["m"].to_numpy(dtype=float), want["m"].to_numpy(), rtol=1e-11)
+
+
+def test_as_of_over_split_days_is_the_same(spark):
+    left, right = busy_day(), busy_day(4000).rename(columns={"v": "w"})
+    right = to_spark(spark, right).withColumnRenamed("v", "w")
+    plain = scans.as_of(to_spark(spark, left), right, "k", "ts", {"w": "o"})
+    split = scans.as_of(to_spark(spark, left), right, "k", "ts", {"w": "o"}, even=300)
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
