@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from slotwise.columns import as_list, attach, micros
 from slotwise.functions import calendar as cal
 from slotwise.operators.split import expanding_folds
+from slotwise.session import stored
 
 
 def residual(df: DataFrame, y: str, pred: str, out: str = "residual") -> DataFrame:
@@ -34,13 +36,15 @@ def interval(df: DataFrame, train: DataFrame, key: str, y: str, pred: str, z: fl
 
 # ridge by normal equations ---------------------------------------------------------
 _FLUSH = 128  # keys held per task before their sums are passed on
+_SALTS = 64  # groups of tasks whose sums are added first
 
 
 def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Per key the sums of products of (1, x, y), upper triangle row by row.
 
-    Each task sums its own rows with numpy, so one row per key and task is shuffled, then the
-    elements are added up. A hot key is spread over all tasks that hold it.
+    Each task sums its own rows with numpy and passes one array per key on; arrays are added whole, first within
+    ``_SALTS`` groups of tasks, then per key. A hot key is spread over all tasks that hold it, and no task
+    adds more of its arrays than there are tasks in a group.
     """
     keys = list(keys)
     d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -66,20 +70,42 @@ def gram(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         if acc:
             yield rows()
 
-    cells = d.mapInPandas(partial, schema).select(*keys, F.posexplode("_g").alias("_i", "_v"))
-    sums = cells.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_v")))
-    return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_v"]).alias("gram"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Arrays of equal keys added up; rows come sorted by key, so one sum is open at a time."""
+        key, names, open_row, total = None, None, None, None
+
+        def row() -> pa.RecordBatch:
+            g = pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))
+            return pa.RecordBatch.from_arrays([*open_row, g], names=[*names, "_g"])
+
+        for b in batches:
+            names = [n for n in b.schema.names if n != "_g"]
+            ids = list(zip(*(b.column(n).to_pylist() for n in names)))
+            starts, flat = b.column("_g").offsets.to_numpy(), b.column("_g").values.to_numpy(zero_copy_only=False)
+            for i, k in enumerate(ids):
+                part = flat[starts[i] : starts[i + 1]]
+                if total is not None and k == key:
+                    total += part
+                    continue
+                if total is not None:
+                    yield row()
+                key, open_row, total = k, [b.column(n).slice(i, 1) for n in names], part.copy()
+        if total is not None:
+            yield row()
+
+    parts = d.mapInPandas(partial, schema)
+    salted = parts.withColumn("_salt", F.spark_partition_id() % _SALTS).select(*keys, "_salt", "_g")
+    wide = T.StructType([*(d.schema[k] for k in keys), T.StructField("_salt", T.IntegerType()), schema["_g"]])
+    some = salted.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").mapInArrow(added, wide).drop("_salt")
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema).withColumnRenamed("_g", "gram")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(g: pd.Series, alpha: pd.Series) -> pd.Series:
     """(intercept, coefficients...) of ridge with a free intercept from the matrix of sums."""
     def one(flat, a):
-        p = int(round((np.sqrt(8 * len(flat) + 1) - 1) / 2))
-        m = np.zeros((p, p))
-        m[np.triu_indices(p)] = flat
-        m = np.triu(m) + np.triu(m, 1).T
+        m = _square(np.asarray(flat))
+        p = len(m)
         n, sx, sy = m[0, 0], m[0, 1:-1], m[0, -1]
         sxx = m[1:-1, 1:-1] - np.outer(sx, sx) / n + a * np.eye(p - 2)
         w = np.linalg.lstsq(sxx, m[1:-1, -1] - sx * sy / n, rcond=None)[0]
@@ -124,48 +150,173 @@ def fourier(ts: str, yearly: int = 10, weekly: int = 3, daily: int = 4) -> dict[
     return out
 
 
+def holiday_windows(holidays: DataFrame, names: Sequence[str], lower: int = 0, upper: int = 0) -> DataFrame:
+    """``date, _h``: 0/1 per name and day offset from ``lower`` (not above 0) to ``upper``, from rows (date, name)."""
+    offsets = range(lower, upper + 1)
+    near = holidays.select(F.col("name").alias("_n"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"), F.col("date").alias("_d"))
+    near = near.select(F.date_add("_d", F.col("_o")).alias("date"), "_n", "_o")
+    cells = [F.max(((F.col("_n") == n) & (F.col("_o") == o)).cast("double")) for n in names for o in offsets]
+    return near.groupBy("date").agg(F.array(*cells).alias("_h"))
+
+
+def _map_estimate(laplace: np.ndarray, gauss: np.ndarray, noise: float | None):
+    """Solver of one key: (intercept, coefficients...) from its sums of products.
+
+    Minimises RSS / (2 s^2) + sum |w| / laplace + sum w^2 / (2 gauss^2); infinite scales leave a coefficient free.
+    The quadratic block is eliminated exactly; the absolute values are met by coordinate descent on what is left.
+    Without ``noise``, s^2 is RSS / n, found in a few rounds.
+    """
+    l1 = np.flatnonzero(np.isfinite(laplace))
+    rest = np.flatnonzero(~np.isfinite(laplace))
+
+    def solve(m: np.ndarray) -> np.ndarray:
+        n, mean = m[0, 0], m[0] / m[0, 0]
+        c = m[1:, 1:] - np.outer(m[0, 1:], mean[1:])
+        q, r, yy, p = c[:-1, :-1], c[:-1, -1], c[-1, -1], len(c) - 1
+        w, s2 = np.zeros(p), noise**2 if noise else max(yy / n, 1e-12)
+        for _ in range(1 if noise else 8):
+            a = q[np.ix_(rest, rest)] + np.diag(s2 / gauss[rest] ** 2)
+            b = np.linalg.lstsq(a, np.column_stack([q[np.ix_(rest, l1)], r[rest]]), rcond=None)[0]
+            left = q[np.ix_(l1, l1)] - q[np.ix_(l1, rest)] @ b[:, :-1]
+            target = r[l1] - q[np.ix_(l1, rest)] @ b[:, -1]
+            v = w[l1].copy()
+            for _ in range(5000):
+                change = 0.0
+                for j in range(len(l1)):
+                    if left[j, j] <= 1e-12 * max(q[l1[j], l1[j]], 1e-300):
+                        v[j] = 0.0
+                        continue
+                    pull = target[j] - left[j] @ v + left[j, j] * v[j]
+                    new = np.sign(pull) * max(abs(pull) - s2 / laplace[l1[j]], 0.0) / left[j, j]
+                    change, v[j] = max(change, abs(new - v[j])), new
+                if change <= 1e-12 * (1.0 + np.abs(v).max(initial=0.0)):
+                    break
+            w[l1], w[rest] = v, b[:, -1] - b[:, :-1] @ v
+            before, s2 = s2, max((yy - 2 * w @ r + w @ q @ w) / n, 1e-12) if not noise else s2
+            if abs(before - s2) <= 1e-10 * s2:
+                break
+        return np.r_[mean[-1] - w @ mean[1:-1], w]
+
+    return solve
+
+
+def _square(flat: np.ndarray) -> np.ndarray:
+    p = int(round((np.sqrt(8 * len(flat) + 1) - 1) / 2))
+    m = np.zeros((p, p))
+    m[np.triu_indices(p)] = flat
+    return np.triu(m) + np.triu(m, 1).T
+
+
 class SeasonalModel:
-    """Trend with changes of slope, Fourier seasons, holidays and regressors; ridge per key.
+    """y = trend (1 + multiplicative terms) + additive terms, one model per key, all keys in one job.
+
+    The trend is linear with ``changepoints`` changes of slope (a number of them spread over the first
+    ``changepoint_range`` of the training time, or their stamps) under a Laplace prior. Yearly, weekly and daily Fourier
+    terms, holiday windows and regressors have normal priors. Seasons and holidays follow ``mode``, each
+    regressor its own (``regressors``: name -> "additive" or "multiplicative"); those in ``standardise`` are centred and
+    scaled on the training rows. Prior scales hold for y divided by its largest absolute value per key.
 
-    ``multiplicative`` fits on log(1 + y). The band is ``z`` training residual deviations
-    wide, forecasts are not negative.
+    Everything is fitted from per-key sums of products. A multiplicative term is a column times the trend of the
+    pass before, so ``passes`` passes over the training rows are made (one is enough without such
+    terms). The band is ``z`` training residual deviations wide; forecasts are not negative.
     """
 
     def __init__(
-        self, keys: Sequence[str], ts: str, y: str, regressors: Sequence[str] = (), changepoints: Sequence[str] = (),
-        orders: tuple[int, int, int] = (10, 3, 4), alpha: float = 1.0, multiplicative: bool = False, z: float = 1.96,
-    ):
-        self.keys, self.ts, self.y, self.regressors = list(keys), ts, y, list(regressors)
-        self.changepoints, self.orders, self.alpha, self.multiplicative, self.z = list(changepoints), orders, alpha, multiplicative, z
+        self, keys: Sequence[str], ts: str, y: str, regressors: Mapping[str, str] | None = None, changepoints: int | Sequence[str] = 25,
+        orders: tuple[int, int, int] = (10, 3, 4), mode: str = "additive", holidays: DataFrame | None = None, holiday_names: Sequence[str] = (),
+        holiday_window: tuple[int, int] = (0, 0), standardise: Sequence[str] = (), changepoint_range: float = 0.95, changepoint_scale: float = 0.05,
+        season_scale: float = 12.0, holiday_scale: float = 15.0, regressor_scale: float = 15.0, noise: float | None = None, passes: int = 3, z: float = 1.96,
+    ):
+        self.keys, self.ts, self.y, self.regressors, self.changepoints, self.orders = list(keys), ts, y, dict(regressors or {}), changepoints, orders
+        if bad := {m for m in (mode, *self.regressors.values())} - {"additive", "multiplicative"}:
+            raise ValueError(f"mode {bad}")
+        self.mode, self.standardise, self.changepoint_range, self.noise, self.z = mode, list(standardise), changepoint_range, noise, z
+        self.scales = changepoint_scale, season_scale, holiday_scale, regressor_scale
+        self.n_holidays = len(holiday_names) * (holiday_window[1] - holiday_window[0] + 1) if holidays is not None else 0
+        self.calendar = holiday_windows(holidays, holiday_names, *holiday_window) if self.n_holidays else None
+        self.passes = passes if "multiplicative" in (mode if self._seasons() or self.n_holidays else "", *self.regressors.values()) else 1
         self.coef: DataFrame | None = None
 
+    def _seasons(self) -> int:
+        return 2 * sum(self.orders)
+
+    def _parts(self) -> tuple[int, int, int]:
+        """Numbers of trend columns, multiplicative and additive ones; the columns come in this order."""
+        seasons = self._seasons() + self.n_holidays
+        own = [sum(m == kind for m in self.regressors.values()) for kind in ("multiplicative", "additive")]
+        return 1 + len(self.stamps), own[0] + (seasons if self.mode == "multiplicative" else 0), own[1] + (seasons if self.mode == "additive" else 0)
+
     def _x(self, df: DataFrame) -> DataFrame:
-        years = lambda c: micros(c) / F.lit(365.25 * 86_400_000_000.0) - 40.0
-        t = years(F.col(self.ts))
-        hinges = [F.greatest(t - years(F.lit(c).cast("timestamp_ntz")), F.lit(0.0)) for c in self.changepoints]
-        return df.withColumn("_x", feature_array([t, *hinges, *fourier(self.ts, *self.orders).values(), *self.regressors]))
+        """Columns ``_x``: trend columns, then multiplicative, then additive ones."""
+        t = (micros(self.ts) - self.start) / float(self.span)
+        d = df
+        if self.calendar is not None:
+            day = self.calendar.withColumnRenamed("date", "_day")
+            d = attach(df.withColumn("_day", F.to_date(self.ts)), day, ["_day"]).drop("_day")
+        seasons = list(fourier(self.ts, *self.orders).values()) + [F.coalesce(F.get("_h", F.lit(i)), F.lit(0.0)) for i in range(self.n_holidays)]
+        scaled = {n: (F.col(n) - m) / s for n, (m, s) in self.moments.items()}
+        own = lambda kind: [scaled.get(n, F.col(n)) for n, m in self.regressors.items() if m == kind]
+        by = {kind: (seasons if self.mode == kind else []) + own(kind) for kind in ("multiplicative", "additive")}
+        trend = [t, *[F.greatest(t - s, F.lit(0.0)) for s in self.stamps]]
+        out = d.withColumn("_x", feature_array([*trend, *by["multiplicative"], *by["additive"]]))
+        return out.drop("_h") if self.calendar is not None else out
+
+    def _priors(self) -> tuple[np.ndarray, np.ndarray]:
+        change, season, holiday, own = self.scales
+        seasons = [season] * self._seasons() + [holiday] * self.n_holidays
+        regs = lambda kind: [own for m in self.regressors.values() if m == kind]
+        rest = [x for kind in ("multiplicative", "additive") for x in (seasons if self.mode == kind else []) + regs(kind)]
+        slopes = len(self.stamps)
+        return np.r_[np.inf, np.full(slopes, change), np.full(len(rest), np.inf)], np.r_[np.full(1 + slopes, np.inf), rest]
 
     def fit(self, train: DataFrame) -> SeasonalModel:
         """Coefficients and residual deviation per key (one small table)."""
-        target = F.log1p(self.y) if self.multiplicative else F.col(self.y)
-        d = self._x(train).withColumn("_t", target)
-        coef = ridge_fit(d, self.keys, "_x", "_t", self.alpha)
-        fitted = ridge_predict(d, coef, self.keys, "_x", "_f")
-        sd = fitted.groupBy(*self.keys).agg(F.stddev_samp(F.col("_t") - F.col("_f")).alias("sigma"))
-        self.coef = attach(coef, sd, self.keys)
+        have = train.where(F.col(self.y).isNotNull())
+        moments = [e for n in self.standardise for e in (F.avg(n).alias(f"m_{n}"), F.stddev_pop(n).alias(f"s_{n}"))]
+        ends = have.agg(F.min(micros(self.ts)).alias("a"), F.max(micros(self.ts)).alias("z"), *moments).first()
+        self.start, self.span = ends.a or 0, max((ends.z or 0) - (ends.a or 0), 1)
+        self.moments = {n: (ends[f"m_{n}"] or 0.0, ends[f"s_{n}"] or 1.0) for n in self.standardise}
+        if isinstance(self.changepoints, int):
+            self.stamps = [self.changepoint_range * (i + 1) / self.changepoints for i in range(self.changepoints)]
+        else:
+            at = [(pd.Timestamp(c) - pd.Timestamp(0)) // pd.Timedelta(1, "us") for c in self.changepoints]
+            self.stamps = [(a - self.start) / self.span for a in at]
+        trends, mult, _ = self._parts()
+        size = have.groupBy(*self.keys).agg(F.greatest(F.max(F.abs(self.y)), F.lit(1e-12)).cast("double").alias("_scale"))
+        d = attach(self._x(have), stored(size, "scales"), self.keys).withColumn("_t", F.col(self.y) / F.col("_scale"))
+        solve = _map_estimate(*self._priors(), self.noise)
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def estimate(g: pd.Series) -> pd.Series:
+            return pd.Series([solve(_square(np.asarray(f))) for f in g])
+
+        coef = None
+        for _ in range(self.passes):
+            step = d
+            if coef is not None:
+                level = dot(F.slice("_w", 1, trends + 1), F.slice("_x", 1, trends))
+                x = F.transform("_x", lambda v, i: F.when((i >= trends) & (i < trends + mult), v * level).otherwise(v))
+                step = attach(d, coef, self.keys).withColumn("_x", x)
+            coef = stored(gram(step, self.keys, "_x", "_t").select(*self.keys, estimate("gram").alias("_w")), "seasonal")
+        fitted = attach(d, coef, self.keys).withColumn("_e", F.col("_t") - self._value())
+        sd = fitted.groupBy(*self.keys).agg(F.stddev_samp("_e").alias("sigma"), F.max("_scale").alias("scale"))
+        self.coef = stored(attach(coef, sd, self.keys).withColumnRenamed("_w", "coef"), "seasonal")
         return self
 
+    def _value(self) -> Column:
+        """Forecast in units of the scale, from ``_w`` and ``_x``."""
+        trends, mult, add = self._parts()
+        part = lambda a, n: F.aggregate(F.zip_with(F.slice("_w", a + 2, n), F.slice("_x", a + 1, n), lambda w, v: w * v), F.lit(0.0), lambda s, v: s + v) if n else F.lit(0.0)
+        trend = F.element_at("_w", 1) + part(0, trends)
+        return trend * (1.0 + part(trends, mult)) + part(trends + mult, add)
+
     def predict(self, future: DataFrame) -> DataFrame:
-        d = attach(self._x(future), self.coef.select(*self.keys, F.col("coef").alias("_c"), F.col("sigma").alias("_s")), self.keys)
-        f = dot(F.col("_c"), F.col("_x"))
-        back = (lambda e: F.expm1(e)) if self.multiplicative else (lambda e: e)
-        zero = F.lit(0.0)
-        return d.withColumns(
-            {
-                "yhat": F.greatest(back(f), zero), "yhat_lower": F.greatest(back(f - self.z * F.col("_s")), zero),
-                "yhat_upper": F.greatest(back(f + self.z * F.col("_s")), zero),
-            }
-        ).drop("_x", "_c", "_s")
+        model = self.coef.select(*self.keys, F.col("coef").alias("_w"), F.col("sigma").alias("_s"), F.col("scale").alias("_c"))
+        d = attach(self._x(future), model, self.keys).withColumn("_f", self._value())
+        at = lambda e: F.greatest(e * F.col("_c"), F.lit(0.0))
+        known = F.col("_w").isNotNull()
+        band = {"yhat": F.col("_f"), "yhat_lower": F.col("_f") - self.z * F.col("_s"), "yhat_upper": F.col("_f") + self.z * F.col("_s")}
+        return d.withColumns({n: F.when(known, at(e)) for n, e in band.items()}).drop("_x", "_w", "_s", "_c", "_f")
 
 
 # boosted trees -----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.functions import calendar as cal
-from slotwise.operators import enrich, evaluate, models, rollout, windows
+from slotwise.operators import enrich, evaluate, features, models, rollout, windows
 from slotwise.operators.baselines import Baselines
 from slotwise.plans.q_forecast import rounded
 from slotwise.plans.registry import define_view, query
@@ -104,18 +104,44 @@ def sea1_terms(t):
     return d
 
 
+# a trend with one change of slope under a Laplace prior, where SQL can solve the two equations
+SEA_SQL = """WITH e AS (SELECT min(epoch_us(timestamp)) a, max(epoch_us(timestamp)) - min(epoch_us(timestamp)) s FROM v_dsplit WHERE split='train'),
+    c AS (SELECT (epoch_us(TIMESTAMP '1997-07-01') - a) / CAST(s AS DOUBLE) AS c FROM e),
+    d AS (SELECT ride_name, timestamp, split, wait_time, (epoch_us(timestamp) - a) / CAST(s AS DOUBLE) AS x, greatest((epoch_us(timestamp) - a) / CAST(s AS DOUBLE) - c, 0) AS h FROM v_dsplit, e, c),
+    k AS (SELECT ride_name, max(abs(wait_time)) AS top FROM d WHERE split='train' GROUP BY 1),
+    g AS (SELECT ride_name, top, avg(wait_time/top) my, avg(x) mx, avg(h) mh, regr_sxx(h, x) sxx, regr_syy(h, x) shh, regr_sxy(h, x) sxh, regr_sxy(wait_time/top, x) sxy, regr_sxy(wait_time/top, h) shy
+          FROM d JOIN k USING (ride_name) WHERE split='train' GROUP BY 1, 2),
+    w AS (SELECT *, sign(shy - sxh*sxy/sxx) * greatest(abs(shy - sxh*sxy/sxx) - 0.3*0.3/0.05, 0) / (shh - sxh*sxh/sxx) AS v FROM g)
+    SELECT ride_name, timestamp, round(greatest(top * (my + (sxy - sxh*v)/sxx*(x - mx) + v*(h - mh)), 0), 6) AS yhat FROM d JOIN w USING (ride_name) WHERE split<>'train'"""
+
+
+@query("sea1_trend_change", SEA_SQL)
+def sea1_trend(t):
+    d = t.daily_split
+    m = models.SeasonalModel([K], T, W, changepoints=["1997-07-01"], orders=(0, 0, 0), noise=0.3).fit(d.where("split='train'"))
+    return rounded(m.predict(d.where("split<>'train'")).select(K, T, "yhat"), "yhat")
+
+
+#: How each regressor enters; the others of the frame are additive.
+REGRESSORS = {n: "multiplicative" for n in ("temperature", "rain", "high_temp", "any_rain", "rain_weekend", "between_covid_lockdowns", "covid_recovery")} | {n: "additive" for n in ("temp_squared", "temp_weekend")}
+
+
 @query("sea1_seasonal_model")
 def sea1(t):
-    d = t.daily_split.withColumn("is_weekend", cal.day_flags(T)["is_weekend"])
-    m = models.SeasonalModel([K], T, W, ["is_weekend"], ["1997-01-01", "1998-07-01"], orders=(6, 3, 0)).fit(d.where("split='train'"))
+    """Half-hour slots with weather: 25 changes of slope, yearly, weekly and daily terms, three countries' holidays, nine regressors."""
+    d = features.seasonal_frame(t.half_split.join(t.weather.drop("wind"), T).where("temperature IS NOT NULL AND rain IS NOT NULL"), T, W)
+    days = t.holidays.select("date", F.col("country").alias("name"))
+    m = models.SeasonalModel(
+        [K], "ds", "y", REGRESSORS, mode="multiplicative", holidays=days, holiday_names=["DE", "CH", "FR"], standardise=["temperature", "rain", "temp_squared", "temp_weekend", "rain_weekend"]
+    ).fit(d.where("split='train'"))
     p = m.predict(d.where("split<>'train'"))
-    return evaluate.interval_scores(p, [K, "split"], W, "yhat_lower", "yhat_upper")
+    return evaluate.interval_scores(p, [K, "split"], "y", "yhat_lower", "yhat_upper")
 
 
 @query("sea1_multiplicative")
 def sea1_mult(t):
     d = t.daily_split.withColumn("is_weekend", cal.day_flags(T)["is_weekend"])
-    m = models.SeasonalModel([K], T, W, ["is_weekend"], orders=(4, 3, 0), multiplicative=True).fit(d.where("split='train'"))
+    m = models.SeasonalModel([K], T, W, {"is_weekend": "multiplicative"}, orders=(10, 3, 0), mode="multiplicative").fit(d.where("split='train'"))
     return evaluate.score(m.predict(d.where("split<>'train'")), [K, "split"], W, "yhat", ["mae", "rmse", "n_samples"])
 
 

@@ -130,7 +130,7 @@ def test_seasonal_model_recovers_a_weekly_pattern(spark):
     rows = [("a", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), 50 + 10 * math.sin(2 * math.pi * i / 7) + 0.01 * i) for i in range(800)]
     d = spark.createDataFrame(rows, f"{K} string, {T} timestamp_ntz, {W} double")
     cut = F.lit(dt.datetime(2021, 12, 1)).cast("timestamp_ntz")
-    m = models.SeasonalModel([K], T, W, orders=(2, 3, 0), alpha=1e-3).fit(d.where(F.col(T) < cut))
+    m = models.SeasonalModel([K], T, W, orders=(2, 3, 0), changepoints=3).fit(d.where(F.col(T) < cut))
     s = evaluate.score(m.predict(d.where(F.col(T) >= cut)), K, W, "yhat", ["mae"]).first()
     assert s.mae < 0.5
 
@@ -161,3 +161,76 @@ def test_boosted_prediction_keeps_every_row(spark):
     got = BoostedModel("k", "y", ["x"], trees=2, depth=2).fit(d).predict(d)
     assert got.count() == len(rows)
     assert got.where("yhat IS NULL").count() == 1 and got.where("x IS NULL AND yhat IS NULL").count() == 1
+
+
+def plain_map(x, y, laplace, gauss, noise, sweeps=4000):
+    """Coordinate descent on every column of the centred design, as a check of the solver."""
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.zeros(x.shape[1])
+    ridge, l1 = noise**2 / gauss**2, np.where(np.isfinite(laplace), noise**2 / laplace, 0.0)
+    q, r = xc.T @ xc, xc.T @ yc
+    for _ in range(sweeps):
+        for j in range(len(w)):
+            pull = r[j] - q[j] @ w + q[j, j] * w[j]
+            w[j] = np.sign(pull) * max(abs(pull) - l1[j], 0) / (q[j, j] + ridge[j])
+    return np.r_[y.mean() - x.mean(0) @ w, w]
+
+
+def test_seasonal_model_equals_plain_estimate(spark):
+    """Slope changes, weekly terms, holiday windows, an additive and a multiplicative regressor, three passes."""
+    rng = np.random.default_rng(6)
+    n, noise = 420, 0.05
+    start = dt.datetime(2022, 1, 1)
+    stamps = [start + dt.timedelta(days=i) for i in range(n)]
+    temp, rain = rng.normal(20, 5, n), (rng.random(n) < 0.3).astype(float)
+    off = {dt.date(2022, 3, 1): "A", dt.date(2022, 8, 15): "A", dt.date(2022, 12, 25): "B"}
+    rows = {}
+    for k, level in (("p", 40.0), ("q", 9.0)):
+        trend = level + np.arange(n) * 0.02 + np.maximum(np.arange(n) - 200, 0) * 0.05
+        week = np.sin(2 * np.pi * np.arange(n) / 7)
+        rows[k] = trend * (1 + 0.2 * week + 0.3 * rain) + 0.4 * temp + rng.normal(0, 0.5, n)
+    data = [(k, t, float(v), float(c), float(r)) for k, ys in rows.items() for t, v, c, r in zip(stamps, ys, temp, rain)]
+    d = spark.createDataFrame(data, f"{K} string, {T} timestamp_ntz, {W} double, temp double, rain double").repartition(5)
+    days = spark.createDataFrame([(day, name) for day, name in off.items()], "date date, name string")
+    cut = 400
+    train = d.where(F.col(T) < F.lit(stamps[cut]).cast("timestamp_ntz"))
+    m = models.SeasonalModel(
+        [K], T, W, {"temp": "additive", "rain": "multiplicative"}, changepoints=6, orders=(1, 2, 0), mode="multiplicative",
+        holidays=days, holiday_names=["A", "B"], holiday_window=(0, 1), standardise=["temp"], noise=noise, passes=3,
+    ).fit(train)
+    got = {(r[K], r[T]): r.yhat for r in m.predict(d).collect()}
+
+    t = np.arange(n) / (cut - 1)
+    trends = np.column_stack([t, *[np.maximum(t - 0.95 * (i + 1) / 6, 0) for i in range(6)]])
+    at = np.array([(s - dt.datetime(1970, 1, 1)).total_seconds() / 86400 for s in stamps])
+    seasons = np.column_stack([f(2 * np.pi * h * at / p) for p, o in ((365.25, 1), (7.0, 2)) for h in range(1, o + 1) for f in (np.sin, np.cos)])
+    windows = np.column_stack([[off.get((s - dt.timedelta(days=o)).date()) == name for s in stamps] for name in "AB" for o in (0, 1)]).astype(float)
+    std = (temp - temp[:cut].mean()) / temp[:cut].std()
+    mult = np.column_stack([seasons, windows, rain])
+    laplace = np.r_[np.inf, np.full(6, 0.05), np.full(mult.shape[1] + 1, np.inf)]
+    gauss = np.r_[np.full(7, np.inf), np.full(seasons.shape[1], 12.0), np.full(4, 15.0), 15.0, 15.0]
+    for k, y in rows.items():
+        scale = np.abs(y[:cut]).max()
+        level = np.ones(n)
+        for _ in range(3):
+            x = np.column_stack([trends, mult * level[:, None], std])
+            w = plain_map(x[:cut], y[:cut] / scale, laplace, gauss, noise)
+            level = w[0] + trends @ w[1:8]
+        want = np.maximum(scale * (level * (1 + mult @ w[8:-1]) + std * w[-1]), 0)
+        np.testing.assert_allclose([got[k, s] for s in stamps], want, rtol=2e-5)
+    assert np.abs([got["p", s] - v for s, v in zip(stamps, rows["p"])]).mean() < 1.5
+
+
+def test_sums_of_products_add_whole_arrays(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(3000, 4)), rng.normal(size=3000)
+    keys = np.where(rng.random(3000) < 0.8, "hot", rng.choice([f"k{i}" for i in range(300)], 3000))
+    lost, other = (str(k) for k in sorted(set(keys))[5:7])
+    d = spark.createDataFrame([(str(k), [float(v) for v in r], float(t)) for k, r, t in zip(keys, x, y)], "k string, x array<double>, y double").repartition(90)
+    g = models.gram(d.withColumn("k", F.when(F.col("k") != lost, F.col("k"))), ["k"], "x", "y")
+    assert "posexplode" not in g._jdf.queryExecution().toString() and "explode" not in g._jdf.queryExecution().toString()
+    got = {r.k: r.gram for r in g.collect()}
+    assert len(got) == len(set(keys)) and None in got
+    for k in ("hot", other, None):
+        m = np.column_stack([np.ones(3000), x, y])[keys == (lost if k is None else k)]
+        np.testing.assert_allclose(got[k], (m.T @ m)[np.triu_indices(6)], rtol=1e-10, atol=1e-10)
