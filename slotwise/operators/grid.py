@@ -202,6 +202,36 @@ def interpolate(df: DataFrame, keys: str | Sequence[str], ts: str, cols: Sequenc
     return d
 
 
+def interpolate_smooth(df: DataFrame, keys: str | Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Cubic in time between the neighbouring known values, without overshooting them; ends as in ``interpolate``.
+
+    A known value's slope comes from the secants to its two known neighbours (their weighted harmonic mean, 0 where
+    they differ in sign, the one secant at either end), so four known values decide each gap.
+    """
+    keys = as_list(keys)
+    at = micros(ts) / F.lit(3_600_000_000.0)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(at.alias("t"), F.col(c).cast("double").alias("v"))) for c in cols}
+    d = df.withColumns({f"_k_{c}": e for c, e in known.items()})
+    d = carry(d, keys, ts, before={f"_k_{c}": f"_p_{c}" for c in cols}, after={f"_k_{c}": f"_q_{c}" for c in cols}, inclusive=False)
+    for c in cols:
+        k, p, q = (F.col(f"_{x}_{c}") for x in "kpq")
+        h0, h1 = k["t"] - p["t"], q["t"] - k["t"]
+        d0, d1 = F.try_divide(k["v"] - p["v"], h0), F.try_divide(q["v"] - k["v"], h1)
+        w0, w1 = 2 * h1 + h0, h1 + 2 * h0
+        inner = F.when(d0 * d1 > 0, F.try_divide(w0 + w1, F.try_divide(w0, d0) + F.try_divide(w1, d1))).otherwise(0.0)
+        slope = F.when(d0.isNull(), F.coalesce(d1, F.lit(0.0))).when(d1.isNull(), d0).otherwise(inner)
+        d = d.withColumn(f"_k_{c}", F.when(k.isNotNull(), F.struct(k["t"].alias("t"), k["v"].alias("v"), slope.alias("m")))).drop(f"_p_{c}", f"_q_{c}")
+    d = carry(d, keys, ts, before={f"_k_{c}": f"_p_{c}" for c in cols}, after={f"_k_{c}": f"_q_{c}" for c in cols})
+    for c in cols:
+        p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
+        h = q["t"] - p["t"]
+        x = F.try_divide(at - p["t"], h)
+        up = x * x * (3 - 2 * x)
+        curve = p["v"] + (q["v"] - p["v"]) * up + h * x * (1 - x) * (p["m"] * (1 - x) - q["m"] * x)
+        d = d.withColumn(c, F.coalesce(F.col(c).cast("double"), F.when(p.isNotNull() & q.isNotNull(), curve), p["v"])).drop(f"_k_{c}", f"_p_{c}", f"_q_{c}")
+    return d
+
+
 def interval_aggregate(
     df: DataFrame,
     key: str,

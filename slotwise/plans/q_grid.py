@@ -162,6 +162,23 @@ def res3(t):
     return grid.interpolate(d, "ride_name", "timestamp", ["wait_time"]).withColumn("wait_time", R("wait_time", 9))
 
 
+@query(
+    "res3_interpolate_smooth",
+    """WITH e AS (SELECT ride_name, min(timestamp) a, max(timestamp) b FROM v_hourly GROUP BY 1),
+    s AS (SELECT ride_name, unnest(generate_series(a, b, INTERVAL 5 MINUTE)) AS timestamp FROM e),
+    k AS (SELECT ride_name, timestamp, epoch_us(timestamp)/3600000000.0 AS t, wait_time * CAST(1.4142135623730951 AS DOUBLE) AS v FROM v_hourly),
+    n AS (SELECT *, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, (v - lag(v) OVER w)/(t - lag(t) OVER w) AS d0, (lead(v) OVER w - v)/(lead(t) OVER w - t) AS d1 FROM k WINDOW w AS (PARTITION BY ride_name ORDER BY t)),
+    m AS (SELECT ride_name, timestamp, t, v, CASE WHEN d0 IS NULL THEN coalesce(d1, 0) WHEN d1 IS NULL THEN d0 WHEN d0*d1 > 0 THEN (3*h0 + 3*h1)/((2*h1 + h0)/d0 + (h1 + 2*h0)/d1) ELSE 0 END AS g FROM n),
+    p AS (SELECT s.*, m.t AS t0, m.v AS v0, m.g AS g0 FROM s ASOF JOIN m ON m.ride_name = s.ride_name AND s.timestamp >= m.timestamp),
+    q AS (SELECT p.*, m.t AS t1, m.v AS v1, m.g AS g1, (epoch_us(p.timestamp)/3600000000.0 - t0)/nullif(m.t - t0, 0) AS x FROM p ASOF JOIN m ON m.ride_name = p.ride_name AND p.timestamp <= m.timestamp)
+    SELECT ride_name, timestamp, round(CASE WHEN x IS NULL THEN v0 ELSE v0 + (v1 - v0)*x*x*(3 - 2*x) + (t1 - t0)*x*(1 - x)*(g0*(1 - x) - g1*x) END, 8) AS wait_time FROM q""",
+)
+def res3_smooth(t):
+    spine = grid.series_spine(t.hourly, ["ride_name"], "timestamp", 5)
+    d = spine.join(t.hourly, ["ride_name", "timestamp"], "left").withColumn("wait_time", F.col("wait_time") * 1.4142135623730951)  # no exact halves to round
+    return grid.interpolate_smooth(d, "ride_name", "timestamp", ["wait_time"]).withColumn("wait_time", R("wait_time", 8))
+
+
 @query(
     "res4_hold_rate",
     """WITH e AS (SELECT min(date_trunc('hour', timestamp)) a, max(date_trunc('hour', timestamp)) b FROM v_weather), h AS (SELECT date_trunc('hour', timestamp) AS timestamp, avg(rain) AS rain FROM v_weather GROUP BY 1),

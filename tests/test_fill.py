@@ -100,3 +100,18 @@ def test_null_runs_stop_at_entity_borders(make):
 def test_rounding_half_to_even(make):
     d = make([(2.5,), (7.5,), (12.5,), (17.5,), (None,)], "w double")
     assert [r[0] for r in d.select(quality.round_to("w", 5)).collect()] == [0.0, 10.0, 10.0, 20.0, None]
+
+
+def test_smooth_interpolation_stays_between_known_values(make):
+    """Gaps on either side of a peak, a plateau and single values; nothing overshoots, known values stay."""
+    v = {0: 10.0, 4: 20.0, 9: 20.0, 10: 5.0, 20: 6.0}
+    rows = [("a", day(9) + dt.timedelta(minutes=5 * (i - 2)), v.get(i - 2)) for i in range(27)] + [("one", day(9), 3.0), ("one", day(10), None), ("none", day(9), None)]
+    out = grid.interpolate_smooth(make(rows, f"{K} string, {T} timestamp_ntz, {W} double").repartition(5), K, T, [W])
+    got = {(r[0], r[1]): r[2] for r in out.collect()}
+    a = [got["a", day(9) + dt.timedelta(minutes=5 * (i - 2))] for i in range(27)]
+    assert a[:2] == [None, None] and a[23:] == [6.0] * 4
+    for (i, x), (j, y) in zip(list(v.items())[:-1], list(v.items())[1:]):
+        part = a[i + 2 : j + 3]
+        assert part[0] == x and part[-1] == y and sorted(part, reverse=x > y) == part
+    assert len(set(a[6:12])) == 1 and got["one", day(10)] == 3.0 and got["none", day(9)] is None
+    assert out.columns == [K, T, W]
