@@ -10,6 +10,7 @@ from slotwise.columns import attach
 from slotwise.functions.weather import DEFAULT_RAIN, DEFAULT_TEMPERATURE, rain_indicator
 from slotwise.operators.baselines import nearest_in_time
 from slotwise.operators.scans import as_of  # noqa: F401  (part of this module's interface)
+from slotwise.session import stored
 
 
 def add_attributes(df: DataFrame, dim: DataFrame, key: str, dim_key: str, cols: Sequence[str], prefix: str = "feature_") -> DataFrame:
@@ -40,9 +41,12 @@ def holiday_combinations(flags: Sequence[str], weekend: Column) -> dict[str, Col
 
 
 def add_group_stat(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], suffix: str = "") -> DataFrame:
-    """Grouped statistics joined back; partial sums before the shuffle instead of a window."""
+    """Grouped statistics joined back; partial sums before the shuffle instead of a window.
+
+    The statistics are stored before the join is planned: while they are small, no row of ``df`` is shuffled.
+    """
     g = df.groupBy(*keys).agg(*[e.alias(f"{n}{suffix}") for n, e in stats.items()])
-    return attach(df, g, keys)
+    return attach(df, stored(g, "stats"), keys)
 
 
 def join_forecast(actual: DataFrame, forecast: DataFrame, on: Sequence[str], y: str, pred: str, out: str = "residual") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slotwise.columns import as_list, attach
 from slotwise.functions.calendar import c
 from slotwise.functions.order_stats import exact_quantiles, exact_quantiles_of
+from slotwise.session import stored
 
 
 def pivot(df: DataFrame, rows: dict[str, Column], column: str, values: Sequence[str], agg: Column, fill: object | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def fixed_width_bin(df: DataFrame, col: str, width: float, out: str) -> DataFram
 
 def iqr_outliers(df: DataFrame, by: str | Sequence[str], col: str, k: float = 1.5) -> DataFrame:
     ks = as_list(by)
-    j = attach(df, exact_quantiles(df, ks, col, {"_q1": 0.25, "_q3": 0.75}), ks)
+    j = attach(df, stored(exact_quantiles(df, ks, col, {"_q1": 0.25, "_q3": 0.75}), "quartiles"), ks)
     w = k * (F.col("_q3") - F.col("_q1"))
     return j.where((F.col(col) < F.col("_q1") - w) | (F.col(col) > F.col("_q3") + w)).drop("_q1", "_q3")
 

@@ -14,7 +14,7 @@ from slotwise.functions import weather as wx
 from slotwise.functions.arrays import one_hot
 from slotwise.functions.order_stats import exact_quantiles
 from slotwise.operators.windows import long_lags
-from slotwise.session import cut_lineage
+from slotwise.session import cut_lineage, stored
 
 # The service's default scaler.
 FIXED_SCALER = {"temperature": (15.0, 8.0), "rain": (0.15, 0.36)}
@@ -42,12 +42,13 @@ def decompose(df: DataFrame, ts: str, open_t: str = "09:00", close_t: str = "21:
 def standardise(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sample deviation per key, raw values kept as ``<col>_unscaled``.
 
-    No deviation gives 0. Statistics are one partial aggregation joined back.
+    No deviation gives 0. Statistics are one partial aggregation, stored before the join back is planned: while
+    they are small, no row of ``df`` is shuffled.
     """
     ks = as_list(keys)
     ref = fit_on if fit_on is not None else df
     st = ref.groupBy(*ks).agg(*[e for x in cols for e in (F.avg(x).alias(f"_m_{x}"), F.stddev_samp(x).alias(f"_s_{x}"))])
-    d = attach(df, st, ks)
+    d = attach(df, stored(st, "stats"), ks)
     new: dict[str, Column] = {}
     for x in cols:
         new[f"{x}_unscaled"] = F.col(x)

@@ -28,7 +28,7 @@ def residual(df: DataFrame, y: str, pred: str, out: str = "residual") -> DataFra
 def interval(df: DataFrame, train: DataFrame, key: str, y: str, pred: str, z: float = 1.96) -> DataFrame:
     """Band of ``z`` training deviations around the forecast, not below zero."""
     s = train.groupBy(key).agg(F.stddev_samp(y).alias("_s"))
-    d = attach(df, s, [key])
+    d = attach(df, stored(s, "stats"), [key])
     return d.withColumns(
         {f"{pred}_lower": F.greatest(F.col(pred) - z * F.col("_s"), F.lit(0.0)), f"{pred}_upper": F.col(pred) + z * F.col("_s")}
     ).drop("_s")
