@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 
 from slotwise.columns import as_list, attach, micros
 from slotwise.functions import calendar as cal
-from slotwise.operators.split import expanding_folds
+from slotwise.operators.split import expanding_folds, tiles
 from slotwise.session import stored
 
 
@@ -327,9 +330,16 @@ class BoostedModel:
     no per-key loop is needed.
     """
 
-    def __init__(self, key: str, y: str, features: Sequence[str], trees: int = 100, depth: int = 4, rate: float = 0.1, leaf: int = 5, seed: int = 42):
+    def __init__(
+        self, key: str, y: str, features: Sequence[str], trees: int = 100, depth: int = 4, rate: float = 0.1, leaf: int = 5, seed: int = 42,
+        rows: float = 1.0, columns: float = 1.0,
+    ):
+        """``rows`` and ``columns`` are the shares of rows per tree and of features per split."""
         self.key, self.y, self.features = key, y, list(features)
-        self.params = dict(maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, seed=seed)
+        self.params = dict(
+            maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, seed=seed, subsamplingRate=float(rows),
+            featureSubsetStrategy="all" if columns >= 1 else str(float(columns)),
+        )
         self.model: GBTRegressionModel | None = None
         self.stats: DataFrame | None = None
 
@@ -349,10 +359,14 @@ class BoostedModel:
         return va.transform(d)
 
     def fit(self, train: DataFrame) -> BoostedModel:
-        """Rows without target or with a NULL feature are left out here, and only here."""
+        """Rows without target or with a NULL feature are left out here, and only here.
+
+        Vectors are rebalanced once, since every level of every tree reads them all.
+        """
         d = train.where(F.col(self.y).isNotNull() & self._complete())
-        self.stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
-        self.model = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params).fit(self._assemble(d))
+        stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
+        self.stats = stored(stats, "key-stats")
+        self.model = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params).fit(self._assemble(d).select("_v", self.y).hint("rebalance"))
         return self
 
     def predict(self, df: DataFrame, out: str = "yhat") -> DataFrame:
@@ -402,15 +416,27 @@ def random_candidates(space: dict[str, Sequence], n: int, seed: int = 42) -> lis
 
 
 def search_boosted(
-    df: DataFrame, key: str, ts: str, y: str, features: Sequence[str], grid: Sequence[dict], folds: int = 3
-) -> DataFrame:
-    """Expanding-window RMSE of each parameter set; the driver loops over sets, not data."""
-    d = expanding_folds(df, [key], ts, folds)
-    rows = []
-    for i, params in enumerate(grid):
-        for f in range(1, folds + 1):
-            part = d.where(F.col("fold") == f)
-            m = BoostedModel(key, y, features, **params).fit(part.where("role = 'train'"))
-            rmse = RegressionEvaluator(labelCol=y, predictionCol="yhat", metricName="rmse").evaluate(m.predict(part.where("role = 'test'")))
-            rows.append((i, str(params), f, float(rmse)))
-    return df.sparkSession.createDataFrame(rows, "candidate int, params string, fold int, rmse double")
+    df: DataFrame, key: str, ts: str, y: str, features: Sequence[str], grid: Sequence[dict], folds: int = 3, parallel: int = 8
+) -> tuple[DataFrame, BoostedModel]:
+    """``candidate, params, mean_rmse, n_folds, best`` of every parameter set over expanding windows, and the best set fitted on all rows.
+
+    Usable rows are stored once, with their tile and their features as one vector; fold k trains on the tiles up to k
+    and is tested on the next one, so no row is copied. ``parallel`` fits run side by side; the first of
+    equally good sets is the best.
+    """
+    spark = df.sparkSession
+    whole = df.where(F.col(y).isNotNull() & BoostedModel(key, y, features)._complete())
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_f").transform(tiles(whole, [key], ts, folds + 1))
+    d = stored(vectors.select(key, F.col(y).cast("double").alias(y), "tile", "_f").hint("rebalance"), "folds")
+
+    def one(job: tuple[int, int]) -> tuple[int, float]:
+        i, fold = job
+        m = BoostedModel(key, y, ["_f"], **grid[i]).fit(d.where(F.col("tile") <= fold))
+        return i, RegressionEvaluator(labelCol=y, predictionCol="yhat", metricName="rmse").evaluate(m.predict(d.where(F.col("tile") == fold + 1)))
+
+    with ThreadPool(parallel) as pool:
+        scores = pool.map(inheritable_thread_target(spark)(one), [(i, f) for f in range(folds, 0, -1) for i in range(len(grid))], chunksize=1)
+    mean = {i: float(np.mean([r for j, r in scores if j == i])) for i in range(len(grid))}
+    best = min(mean, key=lambda i: (mean[i], i))
+    rows = [(i, json.dumps(params, sort_keys=True), mean[i], folds, i == best) for i, params in enumerate(grid)]
+    return spark.createDataFrame(rows, "candidate int, params string, mean_rmse double, n_folds int, best boolean"), BoostedModel(key, y, features, **grid[best]).fit(whole)

@@ -24,18 +24,52 @@ def frame(t):
     )
 
 
+def boosted(t):
+    """Half-hour slots with weather as the boosted-tree frame, and its feature columns."""
+    d = features.boosted_frame(t.half_split.join(t.weather.drop("wind"), T), K, T, W, "temperature", "rain", [W])
+    return d, [c for c in d.columns if c not in (K, T, W, "split")]
+
+
 @query("gbt1_boosted_trees")
 def gbt1(t):
-    d = frame(t)
-    m = models.BoostedModel(K, W, FEATURES, trees=10, depth=3).fit(d.where("split='train'"))
+    d, cols = boosted(t)
+    m = models.BoostedModel(K, W, cols, trees=100, depth=6).fit(d.where("split='train'"))
     p = m.predict(d.where("split<>'train'"))
     return evaluate.score(p, [K, "split"], W, "yhat", ["mae", "rmse", "r2", "n_samples"])
 
 
+# one tree with one split, where SQL can try every split
+STUMP_SQL = """WITH st AS (SELECT ride_name, avg(wait_time) km, stddev_samp(wait_time) ks FROM v_hsplit WHERE split='train' GROUP BY 1),
+    d AS (SELECT h.ride_name, h.timestamp, h.split, h.wait_time AS y, [st.km, st.ks, CAST(hour(h.timestamp) AS DOUBLE)] AS xs FROM v_hsplit h JOIN st USING (ride_name)),
+    f AS (SELECT ride_name, timestamp, split, y, xs[i] AS x, i FROM d, unnest([1, 2, 3]) AS u(i)),
+    c AS (SELECT i, x, count(*) n, sum(y) s FROM f WHERE split='train' GROUP BY 1, 2),
+    cum AS (SELECT i, x, sum(n) OVER w nl, sum(s) OVER w sl, sum(n) OVER (PARTITION BY i) nt, sum(s) OVER (PARTITION BY i) st FROM c WINDOW w AS (PARTITION BY i ORDER BY x)),
+    best AS (SELECT * FROM cum WHERE nl >= 5 AND nt - nl >= 5 ORDER BY sl*sl/nl + (st-sl)*(st-sl)/(nt-nl) DESC, i LIMIT 1)
+    """
+
+
+def stump(t):
+    d = t.hourly_split.withColumn("hour", F.hour(T).cast("double"))
+    return d, models.BoostedModel(K, W, ["hour"], trees=1, depth=1).fit(d.where("split='train'"))
+
+
+@query("gbt1_single_split", STUMP_SQL + "SELECT ride_name, timestamp, round(CASE WHEN f.x <= best.x THEN sl/nl ELSE (st-sl)/(nt-nl) END, 6) AS yhat FROM f JOIN best USING (i) WHERE split<>'train'")
+def gbt1_stump(t):
+    d, m = stump(t)
+    return rounded(m.predict(d.where("split<>'train'")).select(K, T, "yhat"), "yhat")
+
+
 @query("gbt4_importances")
 def gbt4(t):
-    m = models.BoostedModel(K, W, FEATURES, trees=10, depth=3).fit(frame(t).where("split='train'"))
-    return m.importances(t.spark)
+    d, cols = boosted(t)
+    return models.BoostedModel(K, W, cols, trees=100, depth=6).fit(d.where("split='train'")).importances(t.spark)
+
+
+@query("gbt4_single_split", STUMP_SQL + "SELECT ['key', 'hour'][j] AS feature, CASE WHEN (j = 2) = (i = 3) THEN 1.0::DOUBLE ELSE 0 END AS importance FROM best, unnest([1, 2]) AS u(j)")
+def gbt4_stump(t):
+    """A key's mean and deviation can name the same split, so their importances are added."""
+    name = F.when(F.col("feature").startswith("key_"), "key").otherwise(F.col("feature"))
+    return stump(t)[1].importances(t.spark).groupBy(name.alias("feature")).agg(F.sum("importance").alias("importance"))
 
 
 @query(
@@ -88,11 +122,35 @@ def tun1_single(t):
     return rounded(models.search_ridge(d, [K], T, "x", W, [0.5, 5000.0], folds=3), "mean_mae")
 
 
+#: Value lists of the random search.
+SPACE = {"trees": [100], "rate": [0.01, 0.05, 0.1], "depth": [3, 5, 7], "leaf": [1, 3, 5], "rows": [0.6, 0.8, 1.0], "columns": [0.6, 0.8, 1.0]}
+
+
 @query("tun1_boosted_search")
 def tun1_boosted(t):
-    d = cut_lineage(frame(t))
-    sets = models.random_candidates({"trees": [3], "depth": [2, 3], "rate": [0.1, 0.3], "leaf": [5, 20]}, 2)
-    return models.search_boosted(d, K, T, W, FEATURES, sets, folds=2)
+    """Ten random sets over three folds of the training rows; the best one, refitted, is scored on the test rows."""
+    d, cols = boosted(t)
+    sets = models.random_candidates(SPACE, 10)
+    found, best = models.search_boosted(d.where("split='train'"), K, T, W, cols, sets)
+    test = evaluate.score(best.predict(d.where("split='test'")), [], W, "yhat", ["rmse"]).select(F.col("rmse").alias("refit_rmse"))
+    return found.withColumn("refit_rmse", F.when(F.col("best"), test.scalar()))
+
+
+@query(
+    "tun1_boosted_single_split",
+    """WITH d AS (SELECT ride_name, timestamp, wait_time AS y, CAST(hour(timestamp) AS DOUBLE) AS x, ntile(3) OVER (PARTITION BY ride_name ORDER BY timestamp) AS tile FROM v_hourly WHERE ride_name = 'view'),
+    r AS (SELECT d.*, f AS fold FROM d, unnest([1, 2]) AS u(f)),
+    c AS (SELECT fold, x, count(*) n, sum(y) s FROM r WHERE tile <= fold GROUP BY 1, 2),
+    cum AS (SELECT fold, x, sum(n) OVER w nl, sum(s) OVER w sl, sum(n) OVER (PARTITION BY fold) nt, sum(s) OVER (PARTITION BY fold) st FROM c WINDOW w AS (PARTITION BY fold ORDER BY x)),
+    b AS (SELECT *, leaf FROM cum, unnest([5, 60]) AS u(leaf) WHERE nl >= leaf AND nt - nl >= leaf QUALIFY row_number() OVER (PARTITION BY fold, leaf ORDER BY sl*sl/nl + (st-sl)*(st-sl)/(nt-nl) DESC) = 1),
+    e AS (SELECT leaf, fold, sqrt(avg(power(r.y - CASE WHEN r.x <= b.x THEN sl/nl ELSE (st-sl)/(nt-nl) END, 2))) AS rmse FROM r JOIN b USING (fold) WHERE tile = fold + 1 GROUP BY 1, 2),
+    m AS (SELECT leaf, avg(rmse) AS v FROM e GROUP BY 1)
+    SELECT CAST(CASE leaf WHEN 5 THEN 0 ELSE 1 END AS INT) AS candidate, '{"depth": 1, "leaf": ' || leaf || ', "trees": 1}' AS params, round(v, 6) AS mean_rmse, CAST(2 AS INT) AS n_folds, row_number() OVER (ORDER BY v, leaf) = 1 AS best FROM m""",
+)
+def tun1_boosted_single(t):
+    d = t.hourly.where(F.col(K) == "view").withColumn("hour", F.hour(T).cast("double"))
+    found, _ = models.search_boosted(d, K, T, W, ["hour"], [{"trees": 1, "depth": 1, "leaf": n} for n in (5, 60)], folds=2)
+    return rounded(found, "mean_rmse")
 
 
 @query(
