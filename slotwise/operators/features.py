@@ -88,9 +88,12 @@ def recent_scaler(df: DataFrame, keys: str | Sequence[str], cols: Sequence[str],
     return j.select(*ks, *out, ok.alias("fitted"))
 
 
-def categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values, as they become column names (``one_hot_vector`` needs no columns)."""
-    return sorted(str(r[0]) for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+def categories(df: DataFrame, col: str, most: int = 1000) -> list[str]:
+    """Sorted distinct values, as they become column names; more than ``most`` are an error (``one_hot_vector`` takes any number)."""
+    found = [str(r[0]) for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values: name the ones wanted, or use one_hot_vector")
+    return sorted(found)
 
 
 def one_hot_vector(df: DataFrame, col: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
@@ -98,7 +101,7 @@ def one_hot_vector(df: DataFrame, col: str, out: str, fit_on: DataFrame | None =
     named = lambda d: d.withColumn("_c", F.col(col).cast("string"))
     steps = [
         StringIndexer(inputCol="_c", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        OneHotEncoder(inputCol="_i", outputCol=out, dropLast=False, handleInvalid="keep"),
+        OneHotEncoder(inputCol="_i", outputCol=out, dropLast=False),
     ]
     model = Pipeline(stages=steps).fit(named(fit_on if fit_on is not None else df))
     return model.transform(named(df)).drop("_c", "_i")

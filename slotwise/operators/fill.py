@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.columns import as_list, attach, micros
@@ -81,44 +80,45 @@ def fill_gaps_chained(df: DataFrame, key: str, ts: str, measure: str, closed: st
     """As ``fill_gaps`` with hourly buckets and weekly period, but values filled in one week
     feed the next.
 
-    The chain never leaves (key, weekday, hour): that group holds one hour per week, so it
-    stays small whatever the size of the key.
+    The chain never leaves (key, weekday, hour): that group holds one hour per week, so it stays small whatever
+    the size of the key. Hours are folded week after week inside one expression, each with the known values of
+    the hour seven days before. All columns are kept.
     """
-    schema = df.select(key, ts, measure, closed).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts).reset_index(drop=True)
-        when = pd.to_datetime(pdf[ts])
-        minute = (when.dt.hour * 60 + when.dt.minute).to_numpy()
-        shut = pdf[closed].to_numpy(dtype=bool)
-        vals = pdf[measure].astype("float64").to_numpy().copy()
-        weeks: dict[pd.Timestamp, list[int]] = {}
-        for i, day in enumerate(when.dt.normalize()):
-            weeks.setdefault(day, []).append(i)
-        for day, rows in weeks.items():
-            before = weeks.get(day - pd.Timedelta(days=7), [])
-            last = None
-            for i in rows:
-                if shut[i]:
-                    continue
-                if pd.isna(vals[i]):
-                    if last is not None:
-                        vals[i] = last
-                    else:
-                        known = [j for j in before if not shut[j] and not pd.isna(vals[j])]
-                        if known:
-                            vals[i] = vals[min(known, key=lambda j: (abs(minute[j] - minute[i]), j))]
-                if not pd.isna(vals[i]):
-                    last = vals[i]
-        out = pdf[[key, ts, measure, closed]].copy()
-        out[measure] = pd.Series(vals).astype(object).where(~pd.isna(vals), None)
-        return out
-
-    return (
-        df.select(key, ts, measure, closed)
-        .groupBy(key, F.weekday(ts), F.hour(ts))
-        .applyInPandas(run, schema)
-    )
+    row = F.struct(*[F.col(x).alias(f"_{i}") for i, x in enumerate(df.columns)])
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    slot = F.struct(F.col(ts).alias("at"), minute.alias("m"), F.col(closed).alias("shut"), F.col(measure).cast("double").alias("v"), row.alias("row"))
+    hours = df.groupBy(key, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(F.collect_list(slot).alias("_rows"))
+    by_time = F.array_sort("_rows", lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0))
+    hour = F.struct(F.col("_day").alias("day"), by_time.alias("rows"))
+    weeks = hours.groupBy(key, F.weekday("_day").alias("_weekday"), "_hour").agg(F.collect_list(hour).alias("_weeks"))
+    known = "array<struct<m:int,v:double>>"
+
+    def filled(rows: Column, before: Column) -> Column:
+        """Values of one hour, and those of its open slots that are known."""
+        def step(acc: Column, r: Column) -> Column:
+            near = F.array_min(F.transform(before, lambda k, j: F.struct(F.abs(k["m"] - r["m"]).alias("d"), j.alias("j"), k["v"].alias("v"))))["v"]
+            v = F.when(r["shut"], r["v"]).otherwise(F.coalesce(r["v"], acc["last"], near))
+            seen = ~r["shut"] & v.isNotNull()
+            return F.struct(
+                F.when(seen, v).otherwise(acc["last"]).alias("last"),
+                F.when(seen, F.concat(acc["open"], F.array(F.struct(r["m"].alias("m"), v.alias("v"))))).otherwise(acc["open"]).cast(known).alias("open"),
+                F.concat(acc["all"], F.array(v)).alias("all"),
+            )
+
+        zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(known).alias("open"), F.array().cast("array<double>").alias("all"))
+        return F.aggregate(rows, zero, step)
+
+    def week(acc: Column, h: Column) -> Column:
+        before = F.when(F.date_add(acc["day"], 7) == h["day"], acc["open"]).otherwise(F.array().cast(known))
+        done = F.transform(F.array(filled(h["rows"], before)), lambda f: F.struct(h["day"].alias("day"), f["open"].alias("open"), F.concat(acc["out"], F.array(f["all"])).alias("out")))
+        return F.get(done, F.lit(0))
+
+    start = F.struct(F.lit(None).cast("date").alias("day"), F.array().cast(known).alias("open"), F.array().cast("array<array<double>>").alias("out"))
+    ordered = weeks.withColumn("_weeks", F.array_sort("_weeks", lambda x, y: F.when(x["day"] < y["day"], -1).otherwise(1)))
+    values = ordered.withColumn("_values", F.flatten(F.aggregate("_weeks", start, week, lambda a: a["out"])))
+    pairs = values.select(F.explode(F.arrays_zip(F.flatten("_weeks.rows").alias("r"), F.col("_values").alias("v"))).alias("_p"))
+    kind = df.schema[measure].dataType
+    return pairs.select(*[(F.col("_p.v").cast(kind) if x == measure else F.col(f"_p.r.row._{i}")).alias(x) for i, x in enumerate(df.columns)])
 
 
 def fill_report(filled: DataFrame, key: str) -> DataFrame:

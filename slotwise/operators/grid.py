@@ -33,6 +33,11 @@ def date_spine(one: DataFrame, lo: Column, hi: Column, out: str = "date") -> Dat
     return one.withColumn(out, F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))))
 
 
+def date_hours(one: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Every date from ``lo`` to ``hi`` with every hour of the day, without a join."""
+    return date_spine(one, lo, hi).select("date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+
+
 def chunk_ranges(one: DataFrame, lo: Column, hi: Column, days: int) -> DataFrame:
     """Consecutive date ranges of at most ``days`` days, both ends inclusive."""
     d = one.select(lo.alias("_lo"), hi.alias("_hi")).select("_hi", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {days} DAY"))).alias("range_start"))

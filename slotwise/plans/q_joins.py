@@ -134,6 +134,12 @@ def joi12(t):
     return grid.slot_grid(t.obs.select(K).distinct(), K, T, lo, hi, "09:00", "21:00", 60)
 
 
+@query("joi12_dates_and_hours", "SELECT d.date, CAST(h AS INT) AS hour FROM v_days d, unnest(generate_series(0, 23)) AS u(h)")
+def joi12_hours(t):
+    one = t.obs.agg(F.min(F.to_date(T)).alias("lo"), F.max(F.to_date(T)).alias("hi"))
+    return grid.date_hours(one, F.col("lo"), F.col("hi"))
+
+
 @query(
     "joi13_as_of",
     "SELECT o.ride_name, o.timestamp, round(h.wait_time, 8) AS last_known FROM v_obs o ASOF LEFT JOIN (SELECT * FROM v_hourly WHERE wait_time > 40) h ON h.ride_name = o.ride_name AND o.timestamp >= h.timestamp",

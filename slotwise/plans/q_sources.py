@@ -36,10 +36,20 @@ def src3(t):
     )
     docs = t.part.groupBy(F.floor(F.col("p_partkey") / 50).alias("doc")).agg(F.collect_list(item).alias("attractions_features"))
     docs.drop("doc").write.json(root)
-    d = readers.read_dimension_json(
-        t.spark, root, "attractions_features", "name string, category string, min_age int, max_height double", multi_line=False
-    )
-    return d
+    return readers.read_dimension_json(t.spark, root, "attractions_features", ITEM, multi_line=False)
+
+
+ITEM = "name string, category string, min_age int, max_height double"
+
+
+@query("src3_read_dimension_document", "SELECT p_name AS name, p_type AS category, p_size AS min_age, p_retailprice AS max_height FROM part")
+def src3_document(t):
+    """The dimension as indented documents, each over many lines and in a file of its own."""
+    root = shared_folder(t.spark, "dimension")
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("min_age"), F.col("p_retailprice").alias("max_height"))
+    docs = t.part.groupBy(F.pmod(F.col("p_partkey"), F.lit(4)).alias("doc")).agg(F.to_json(F.struct(F.collect_list(item).alias("attractions_features")), {"pretty": "true"}).alias("text"))
+    docs.write.partitionBy("doc").text(root)
+    return readers.read_dimension_json(t.spark, f"{root}/doc=*", "attractions_features", ITEM)
 
 
 @query(
@@ -171,6 +181,14 @@ def snk4(t):
     return t.spark.read.schema("ride_name string, n bigint, mean_wait double").option("header", True).option("sep", ";").csv(path)
 
 
+@query("snk4_write_report_json", "SELECT ride_name, CAST(count(*) AS BIGINT) AS n, round(avg(wait_time), 4) AS mean_wait FROM v_obs GROUP BY 1")
+def snk4_json(t):
+    path = shared_folder(t.spark, "report")
+    rep = t.obs.groupBy("ride_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wait_time"), 4).alias("mean_wait"))
+    store.write_report(rep, path, "json")
+    return t.spark.read.schema("ride_name string, n bigint, mean_wait double").json(path)
+
+
 @query("snk5_expire", "SELECT ride_name, timestamp, CAST(timestamp AS DATE) AS date, round(wait_time, 8) AS wait_time FROM v_hourly WHERE timestamp >= '2024-01-15 12:00:00'")
 def snk5(t):
     root = shared_folder(t.spark, "store")

@@ -1,6 +1,7 @@
 """Window features, feature matrices, splits."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from slotwise.operators import evaluate, features, grid, split, windows
@@ -231,6 +232,18 @@ def fea5(t):
     return features.one_hot_columns(t.events.select("event_id", "event_type"), "event_type", prefix="ride_").drop("event_type")
 
 
+@query(
+    "fea5_one_hot_vector",
+    """WITH c AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS k FROM lineitem WHERE l_linenumber < 7) s)
+    SELECT l_orderkey, l_linenumber, CAST(coalesce(i, (SELECT count(*) FROM c)) AS INT) AS place, CAST((SELECT count(*) FROM c) + 1 AS INT) AS size FROM lineitem LEFT JOIN c ON k = CAST(l_suppkey AS VARCHAR)""",
+)
+def fea5_vector(t):
+    """A vector place for every supplier seen in the fitted rows; the last place for the others."""
+    d = features.one_hot_vector(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", "v", fit_on=t.lineitem.where("l_linenumber < 7"))
+    a = vector_to_array("v")
+    return d.select("l_orderkey", "l_linenumber", (F.array_position(a, 1.0) - 1).cast("int").alias("place"), F.size(a).alias("size"))
+
+
 @query(
     "fea6_polynomial",
     """WITH p AS (SELECT timestamp, temperature, rain, temperature*temperature AS tt, temperature*rain AS tr, rain*rain AS rr FROM v_weather)
