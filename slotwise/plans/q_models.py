@@ -143,7 +143,9 @@ def tun1_boosted(t):
     c AS (SELECT fold, x, count(*) n, sum(y) s FROM r WHERE tile <= fold GROUP BY 1, 2),
     cum AS (SELECT fold, x, sum(n) OVER w nl, sum(s) OVER w sl, sum(n) OVER (PARTITION BY fold) nt, sum(s) OVER (PARTITION BY fold) st FROM c WINDOW w AS (PARTITION BY fold ORDER BY x)),
     b AS (SELECT *, leaf FROM cum, unnest([5, 60]) AS u(leaf) WHERE nl >= leaf AND nt - nl >= leaf QUALIFY row_number() OVER (PARTITION BY fold, leaf ORDER BY sl*sl/nl + (st-sl)*(st-sl)/(nt-nl) DESC) = 1),
-    e AS (SELECT leaf, fold, sqrt(avg(power(r.y - CASE WHEN r.x <= b.x THEN sl/nl ELSE (st-sl)/(nt-nl) END, 2))) AS rmse FROM r JOIN b USING (fold) WHERE tile = fold + 1 GROUP BY 1, 2),
+    a AS (SELECT fold, leaf, sum(y) / count(*) AS mean FROM r, unnest([5, 60]) AS u(leaf) WHERE tile <= fold GROUP BY 1, 2),
+    e AS (SELECT a.leaf, r.fold, sqrt(avg(power(r.y - CASE WHEN b.x IS NULL THEN mean WHEN r.x <= b.x THEN sl/nl ELSE (st-sl)/(nt-nl) END, 2))) AS rmse
+          FROM r JOIN a ON a.fold = r.fold LEFT JOIN b ON b.fold = r.fold AND b.leaf = a.leaf WHERE tile = r.fold + 1 GROUP BY 1, 2),
     m AS (SELECT leaf, avg(rmse) AS v FROM e GROUP BY 1)
     SELECT CAST(CASE leaf WHEN 5 THEN 0 ELSE 1 END AS INT) AS candidate, '{"depth": 1, "leaf": ' || leaf || ', "trees": 1}' AS params, round(v, 6) AS mean_rmse, CAST(2 AS INT) AS n_folds, row_number() OVER (ORDER BY v, leaf) = 1 AS best FROM m""",
 )
@@ -247,6 +249,17 @@ def rol2_one(t):
     return rounded(rollout.same_day(d, m, [K], T, W, "base", 1, 11).select(K, T, "prediction"), "prediction", n=5)
 
 
+@query(
+    "res1_two_stage_one_lag",
+    """WITH p AS (SELECT ride_name, split, wait_time AS y, CASE WHEN i = 1 THEN base ELSE greatest(base + b0 + b1*w1 + b2*r1, 0) END AS f FROM v_lag1 JOIN v_coef1 USING (ride_name) WHERE split<>'train')
+    SELECT ride_name, split, round(avg(abs(y - f)), 5) AS mae, round(sqrt(avg((y - f)*(y - f))), 5) AS rmse, round(1 - avg((y - f)*(y - f))/var_pop(y), 5) AS r2, count(*) AS n_samples FROM p GROUP BY 1, 2""",
+)
+def res_two_stage_one(t):
+    d, m = two_stage(t, n=1)
+    p = rollout.teacher_forced(d, m, [K], T, W, "base", 1).where("split<>'train'")
+    return rounded(evaluate.score(p, [K, "split"], W, "prediction", ["mae", "rmse", "r2", "n_samples"]), "mae", "rmse", "r2", n=5)
+
+
 @query("res1_two_stage")
 def res_two_stage(t):
     d, m = two_stage(t)
@@ -273,6 +286,39 @@ def coming(t, d, days=7):
     return Baselines(out="base").time_of_day(d.where("split='train'"), f.select(K, T))
 
 
+def roll_sql(days: int, restart: str) -> str:
+    """Slot after slot from the last known pair; ``restart`` is the residual that a day's first slot sees of the slot before."""
+    return f"""WITH RECURSIVE e AS (SELECT max(CAST(timestamp AS DATE)) + 1 AS d0 FROM v_obs),
+    f AS (SELECT ride_name, ((d0 + to_days(CAST(i AS INT)) + to_minutes(CAST(m AS BIGINT))) AT TIME ZONE 'Europe/Zurich') AT TIME ZONE 'UTC' AS timestamp FROM v_keys, e, unnest(generate_series(0, {days - 1})) AS a(i), unnest(generate_series(540, 1050, 30)) AS b(m)),
+    g AS (SELECT ride_name, avg(wait_time) AS m FROM v_halfsplit WHERE split='train' GROUP BY 1),
+    h AS (SELECT ride_name, hour(timestamp)*60+minute(timestamp) AS tk, avg(wait_time) AS m FROM v_halfsplit WHERE split='train' GROUP BY 1, 2),
+    n AS (SELECT f.ride_name, f.timestamp, coalesce(h.m, g.m) AS base, row_number() OVER (PARTITION BY f.ride_name ORDER BY f.timestamp) AS k, row_number() OVER (PARTITION BY f.ride_name, CAST(f.timestamp AS DATE) ORDER BY f.timestamp) AS slot
+          FROM f JOIN g ON g.ride_name = f.ride_name LEFT JOIN h ON h.ride_name = f.ride_name AND h.tk = hour(f.timestamp)*60+minute(f.timestamp)),
+    s AS (SELECT ride_name, arg_max(wait_time, timestamp) AS w, arg_max(r, timestamp) AS r FROM v_stage1 GROUP BY 1),
+    p AS (
+      SELECT n.ride_name, n.timestamp, n.k, n.base, b0 + b1*w + b2*r AS res, greatest(n.base + b0 + b1*w + b2*r, 0) AS pred FROM n JOIN s USING (ride_name) JOIN v_coef1 USING (ride_name) WHERE k = 1
+      UNION ALL
+      SELECT n.ride_name, n.timestamp, n.k, n.base, x.res, greatest(n.base + x.res, 0) FROM p JOIN n ON n.ride_name = p.ride_name AND n.k = p.k + 1 JOIN v_coef1 c ON c.ride_name = p.ride_name,
+        LATERAL (SELECT b0 + b1*p.pred + b2*(CASE WHEN n.slot = 1 THEN {restart} ELSE p.res END) AS res) x)
+    """
+
+
+@query("rol3_one_lag", roll_sql(2, "p.res") + "SELECT ride_name, timestamp, round(pred, 5) AS prediction, round(res, 5) AS residual_prediction FROM p")
+def rol3_one(t):
+    d, m = two_stage(t, n=1)
+    p = rollout.horizon(d, coming(t, d, 2), m, [K], T, W, "base", 1)
+    return rounded(p.select(K, T, "prediction", "residual_prediction"), "prediction", "residual_prediction", n=5)
+
+
+@query("rol4_one_lag", roll_sql(3, "p.pred - p.base") + "SELECT ride_name, timestamp, round(pred, 5) AS prediction, round(base, 5) AS baseline FROM p")
+def rol4_one(t):
+    d, m = two_stage(t, n=1)
+    f = cut_lineage(coming(t, d, 3))
+    days = [str(r[0]) for r in f.select(F.to_date(T)).distinct().orderBy(F.to_date(T)).collect()]
+    p = rollout.incremental(d, f, m, K, T, W, "base", shared_folder(t.spark, "rollout"), days, 1)
+    return rounded(p.select(K, T, "prediction", "baseline"), "prediction", "baseline", n=5)
+
+
 @query("rol3_horizon")
 def rol3(t):
     d, m = two_stage(t)
@@ -327,6 +373,17 @@ def rol6(t):
     return rollout.sample_forecast(p, [K, T], "yhat", F.greatest(F.col("yhat") * 0.15, F.lit(0.1)), n=100)
 
 
+@query("rol6_sample_bounds", "SELECT ride_name, timestamp, CAST(100 AS BIGINT) AS n_samples, true AS ordered, true AS near FROM v_hsplit WHERE split='test'")
+def rol6_bounds(t):
+    """The samples of every row: as many as asked for, points in order, mean and deviation near those of the normal they are drawn from."""
+    s = t.hourly_split
+    p = Baselines().time_of_day(s.where("split='train'"), s.where("split='test'"))
+    sd = F.greatest(F.col("yhat") * 0.15, F.lit(0.1))
+    d = rollout.sample_forecast(p, [K, T], "yhat", sd, n=100).join(p.select(K, T, "yhat"), [K, T])
+    near = (F.abs(F.col("mean") - F.col("yhat")) < 0.5 * sd) & F.col("std").between(0.6 * sd, 1.45 * sd)
+    return d.select(K, T, "n_samples", (F.col("p5").between(0, F.col("mean")) & (F.col("mean") <= F.col("p95"))).alias("ordered"), near.alias("near"))
+
+
 PROB = {
     "linear": "greatest(0.02::DOUBLE, 1 - 0.02::DOUBLE*e)", "exponential": "greatest(0.05::DOUBLE, pow(0.95::DOUBLE, e))",
     "inverse_sigmoid": "greatest(0.05::DOUBLE, 1/(1+exp((e - n*0.4::DOUBLE)*0.3::DOUBLE)))", "other": "greatest(0.05::DOUBLE, 1 - 0.03::DOUBLE*e)",
@@ -347,3 +404,21 @@ def rol8(t):
     noisy = rollout.noisy_history(hist, F.to_date(T), 11, 7, F.col(K), F.col(T))
     changed = F.size(F.filter(F.zip_with(noisy, hist, lambda a, b: a["w"] != b["w"]), lambda x: x))
     return d.select(K, T, changed.alias("n_changed"), F.aggregate(noisy, F.lit(0.0), lambda a, x: a + x["w"]).alias("sum_w"))
+
+
+LAGS = [f"lag(timestamp, {j}) OVER w" for j in range(1, 13)]
+
+
+@query(
+    "rol8_changed_pairs",
+    "SELECT ride_name, timestamp, CAST(" + " + ".join(f"(CAST(l{j} AS DATE) = CAST(timestamp AS DATE) AND hour(l{j}) >= 11)::INT" for j in range(1, 13)) + " AS INT) AS n_changed, true AS others_kept FROM (SELECT ride_name, timestamp, "
+    + ", ".join(f"{e} AS l{j}" for j, e in enumerate(LAGS, 1)) + " FROM v_half WINDOW w AS (PARTITION BY ride_name ORDER BY timestamp)) WHERE l12 IS NOT NULL",
+)
+def rol8_pairs(t):
+    """Exactly the pairs of the same day after opening are perturbed."""
+    d = windows.lag_sequence(t.half.withColumn("residual", F.col(W) - 40), K, T, [W, "residual"], 12)
+    hist = F.transform("history", lambda p: F.struct(p["at"].alias("at"), p[W].alias("w"), p["residual"].alias("r")))
+    noisy = rollout.noisy_history(hist, F.to_date(T), 11, 7, F.col(K), F.col(T))
+    both = F.zip_with(noisy, hist, lambda a, b: F.struct((a["w"] != b["w"]).alias("w"), (a["r"] != b["r"]).alias("r"), ((F.to_date(b["at"]) == F.to_date(T)) & (F.hour(b["at"]) >= 11)).alias("own")))
+    kept = F.forall(both, lambda x: x["own"] | (~x["w"] & ~x["r"]))
+    return d.select(K, T, F.size(F.filter(both, lambda x: x["r"])).alias("n_changed"), kept.alias("others_kept"))
