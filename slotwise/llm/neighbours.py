@@ -4,8 +4,9 @@ Every distinct vector keeps a list of its nearest known neighbours. Lists start
 and are refined by joining the neighbours of each vector with one another; a list whose last entry is still above the
 threshold is saturated and enlarged. Edges that reach the threshold give components. A link never
 leaves its component, so the links of each vector are then counted inside it, in blocks of exact cosine products: no cap
-on neighbours reaches the result. An audit compares a bounded sample with all vectors; while it finds a
-link between components, further buckets and rounds follow.
+on neighbours reaches the result. An audit compares a bounded sample, another one each time, with all vectors; while it
+finds a link between components, that link is kept and further buckets and rounds follow. The share of audited links
+that the last audit found inside components is returned; below ``RECALL`` after ``ATTEMPTS`` audits the job fails.
 """
 from __future__ import annotations
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import maybe_broadcast, stored
 from slotwise.llm.graph import components
 
-#: Entries of a list, of an enlarged one, rows compared at once, audited vectors, attempts, share of links a start must find.
-LIST, ENLARGED, BLOCK, AUDIT, ATTEMPTS, START = 6, 12, 512, 256, 4, 0.99
+#: Entries of a list, of an enlarged one, rows compared at once, audited vectors, attempts, share of links a start must find, recall below which the result is refused.
+LIST, ENLARGED, BLOCK, AUDIT, ATTEMPTS, START, RECALL = 6, 12, 512, 256, 12, 0.99, 0.95
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -168,7 +169,7 @@ def _count_links(inside: DataFrame, vec: str, cos: float) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cos: float = 0.95) -> DataFrame:
-    """One row per vector: id, ``n_links``, ``component_id`` (smallest id reachable), ``kept``.
+    """One row per vector: id, ``n_links``, ``component_id`` (smallest id reachable), ``kept``, ``audited_recall`` (one value, null without links in the sample).
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are kept. Shorter
     vectors count as filled up with zeros. Equal vectors are one class inside and separate, linked rows
@@ -187,7 +188,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     base = stored(raw.where("ok").groupBy("c").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("id").alias("least")), "vectors")
     count, row_bytes = base.count(), dim * (8 if kind == "double" else 4) + 40
 
-    edges, extra = None, []
+    edges, extra, recall = None, [], None
     for attempt in range(ATTEMPTS):
         found = _start(base, dim, count, cos, attempt, vec)
         edges = stored(_best(found if edges is None else edges.union(found), cos), "lists")
@@ -208,10 +209,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         sample = (picked.column("c").to_numpy(), picked.column("label").to_numpy(), _matrix(picked.column("vec").combine_chunks()))
         audit = stored(named.select("c", "label", "vec").mapInArrow(_missed(sample, cos), "a long, b long, links long"), "audit")
         missing = audit.where("a <> b").select("a", "b")
-        if missing.isEmpty():
+        seen, lost = audit.agg(F.sum("links"), F.count_if(F.col("a") != F.col("b"))).first()
+        recall = 1 - lost / seen if seen else None
+        if not lost:
             break
         extra.append(missing)
-    if extra and attempt == ATTEMPTS - 1:
+    else:
+        if recall < RECALL:
+            raise RuntimeError(f"links found: {recall:.3f} of those audited after {ATTEMPTS} attempts")
         for e in extra[-1:]:
             links = links.union(e)
         label = stored(components(links, "a", "b"), "labels")
@@ -224,4 +229,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     result = stored(per.union(alone), "classes")
     out = raw.select("id", "c").join(maybe_broadcast(result, 32), "c", "left")
     comp = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).cast("long")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))
