@@ -1,10 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs of the training documents are quantised to levels of powers of two, and an n-gram of
-level q is stored q times, as (n-gram, 1) to (n-gram, q). Probing the levels upwards until one is missing gives
-back the quantised count. The filter has ``BITS_PER_TOKEN`` bits per training token up to ``MAX_BITS`` (so its size
-is bounded; beyond that only its error rate grows, no n-gram is dropped) and goes to every scoring task. A pair's
-relative frequency is interpolated with the word's add-one probability.
+Counts of words and word pairs of the training documents are quantised to levels, two an octave (1, 2, 3, 4, 6, 8, 12,
+...), and an n-gram of level q is stored q times, as (n-gram, 1) to (n-gram, q). Probing the levels upwards until one
+is missing gives back the level. The filter has ``BITS_PER_TOKEN`` bits per training token up to ``MAX_BITS`` (so its size
+is bounded; beyond that only its error rate grows, no n-gram is dropped) and goes to every scoring task.
+
+A word after another one has the probability (pair + MASS one) / (predecessor + MASS): ``one`` is the word's add-one
+probability, in which all unknown words share one place; ``pair`` and ``predecessor`` are counts. A level stands for
+its smallest count in ``pair`` and ``one`` and for its largest in ``predecessor``, where frequent words have their true
+counts. So the probabilities after any word sum to one at most, and to one where levels are exact; only false
+positives of the filter add to that.
 
 The exact unigram score needs true counts: the most frequent words (at most ``HOT``) go to every task, tokens
 of all others are joined with the vocabulary.
@@ -19,7 +24,9 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import fold, stored
 from slotwise.llm.words import Group, groups, mix
 
-BITS_PER_TOKEN, MAX_BITS, PROBES, BLOCKS, HOT, WEIGHT = 4, 1 << 29, 2, 1024, 1 << 18, 0.7
+BITS_PER_TOKEN, MAX_BITS, PROBES, BLOCKS, HOT, MASS = 4, 1 << 29, 2, 1024, 1 << 18, 16.0
+#: Smallest count of each level, and one past the last.
+EDGES = np.unique(np.array([2.0**k * x for k in range(62) for x in (1, 1.5) if 2.0**k * x >= 1 and (2.0**k * x) % 1 == 0]))
 _END, _START, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +73,7 @@ def _blocks(bits: int):
         block, data, held = None, None, None
 
         def put(h, c):
-            q = np.floor(np.log2(c)).astype(int) + 1
+            q = np.searchsorted(EDGES, c, "right")
             for level in range(1, int(q.max()) + 1):
                 h, q = h[q >= level], q[q >= level]
                 for cell in _cells(h, level, bits):
@@ -104,20 +111,28 @@ def _blocks(bits: int):
     return run
 
 
-def _estimates(h: np.ndarray, filters: np.ndarray, bits: int) -> np.ndarray:
-    """Middle of the quantised count, 0 where the first level is missing."""
+def _levels(h: np.ndarray, filters: np.ndarray, bits: int) -> np.ndarray:
+    """Levels of n-grams, 0 where the first one is missing."""
     level, live = np.zeros(len(h), np.int64), np.arange(len(h))
     base = (h >> np.uint64(54)).astype(np.int64) * filters.shape[1]
     flat = filters.ravel()
     step = 1
-    while len(live) and step <= 63:
+    while len(live) and step < len(EDGES):
         ok = np.ones(len(live), bool)
         for cell in _cells(h[live], step, bits):
             ok &= (flat[base[live] + (cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
         live = live[ok]
         level[live] = step
         step += 1
-    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+    return level
+
+
+_LEAST, _MOST = np.r_[0.0, EDGES], np.r_[0.0, EDGES[1:] - 1, EDGES[-1]]
+
+
+def probability(pair: np.ndarray, word: np.ndarray, predecessor: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """Of a word after another, from the counts of both together, of the word and of its predecessor."""
+    return (pair + MASS * (word + 1) / (total + kinds + 1)) / (predecessor + MASS)
 
 
 def _score(model, hot, bits: int, total: int, kinds: int, floor: int):
@@ -128,13 +143,15 @@ def _score(model, hot, bits: int, total: int, kinds: int, floor: int):
             for g in groups(b.column("text"), lower=True):
                 doc, token, before = _tokens(g)
                 n = g.hi - g.lo
-                both, alone = _estimates(_pair(before, token), filters, bits), _estimates(token, filters, bits)
-                left = np.where(before == _START, float(floor), np.r_[0.0, alone[:-1]])  # a predecessor is the token before
-                p = WEIGHT * np.minimum(both / np.maximum(left, 1), 1) + (1 - WEIGHT) * (alone + 1) / low
                 at = np.searchsorted(hot_h, token)
                 at[at == len(hot_h)] = 0
                 known = hot_h[at] == token if len(hot_h) else np.zeros(len(token), bool)
                 c = hot_c[at] if len(hot_h) else np.zeros(len(token))
+                both, alone = _levels(_pair(before, token), filters, bits), np.zeros(len(token), np.int64)
+                alone[~known] = _levels(token[~known], filters, bits)
+                # a predecessor is the token before
+                left = np.where(before == _START, float(floor), np.r_[0.0, np.where(known, c, _MOST[alone])[:-1]])
+                p = probability(_LEAST[both], np.where(known, c, _LEAST[alone]), left, total, kinds)
                 base = np.bincount(doc[known], weights=np.log10((c[known] + 1) / low), minlength=n)
                 rare_doc, rare = doc[~known], token[~known]
                 order = np.lexsort((rare, rare_doc))
