@@ -18,6 +18,7 @@ from slotwise.operators.grid import latest_rows
 from slotwise.operators.models import dot, ridge_fit, ridge_predict
 from slotwise.operators.scans import day_chunk, over_previous_rows
 from slotwise.operators.sets import merge_history
+from slotwise.session import stored
 from slotwise.sources import store
 
 _PAIR = "array<struct<w:double,r:double>>"
@@ -118,17 +119,24 @@ def incremental(
     """Day after day: each day uses the readings and the stored predictions of earlier days.
 
     A day is written before the next one starts, so a broken run resumes and no lineage
-    builds up. Returns the stored predictions.
+    builds up. The history is read once: of what lies before the first of the (ascending) days only the newest
+    ``n`` readings per key can enter a forecast. Returns the stored predictions.
     """
     spark = history.sparkSession
     keys = [key]
+    if not days:
+        raise ValueError("no days to predict")
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
     hist = history.select(key, ts, y, base)
+    past = latest_rows(hist.where((F.col(ts) < at(days[0])) & F.col(y).isNotNull()), keys, ts, n)
+    within = hist.where((F.col(ts) >= at(days[0])) & (F.col(ts) < at(days[-1])))
+    hist = stored(past.unionByName(within), "history")
     for i, day in enumerate(days):
         known = hist
         if i:
             done = store.read_store(spark, root, key, ts).select(key, ts, F.col("prediction").alias(y), "baseline")
             known = merge_history(hist, done.withColumnRenamed("baseline", base), [key, ts]).select(key, ts, y, base)
-        known = known.where(F.col(ts) < F.lit(day).cast("timestamp_ntz"))
+        known = known.where(F.col(ts) < at(day))
         todays = future.where(F.to_date(ts) == F.lit(day).cast("date"))
         p = horizon(known, todays, model, keys, ts, y, base, n)
         rows = p.join(todays.select(key, ts, F.col(base).alias("baseline")), [key, ts]).withColumn("prediction_type", F.lit("incremental"))
