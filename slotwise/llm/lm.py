@@ -25,6 +25,8 @@ from slotwise.llm.common import fold, stored
 from slotwise.llm.words import Group, groups, mix
 
 BITS_PER_TOKEN, MAX_BITS, PROBES, BLOCKS, HOT, MASS = 4, 1 << 29, 2, 1024, 1 << 18, 16.0
+#: N-grams that a task counts at a time.
+GRAMS = 1 << 20
 #: Smallest count of each level, and one past the last.
 EDGES = np.unique(np.array([2.0**k * x for k in range(62) for x in (1, 1.5) if 2.0**k * x >= 1 and (2.0**k * x) % 1 == 0]))
 _END, _START, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
@@ -48,14 +50,24 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _counts(pairs: bool):
+    """Counts of the n-grams of some documents at a time; ``GRAMS`` bounds the working arrays."""
+
+    def counted(seen):
+        h, c = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
+
     def run(batches):
+        seen, size = [], 0
         for b in batches:
-            seen = []
             for g in groups(b.column("text"), lower=True):
                 _, token, before = _tokens(g)
                 seen += [_pair(before, token), token] if pairs else [token]
-            h, c = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
+                size += len(token) * (1 + pairs)
+                if size >= GRAMS:
+                    yield counted(seen)
+                    seen, size = [], 0
+        if seen:
+            yield counted(seen)
 
     return run
 
@@ -200,8 +212,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     hot = (np.array([x for x, _ in hot], np.uint64), np.array([c for _, c in hot], float))
     sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    run = _score(sc.broadcast(filters), sc.broadcast(hot), bits, total, kinds, ends)
+    shipped = [sc.broadcast(filters), sc.broadcast(hot)]
+    run = _score(*shipped, bits, total, kinds, ends)
     each = stored(rows.withColumn("uid", F.monotonically_increasing_id()).select("given", "uid", "text").mapInArrow(run, f"given {kind}, uid long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"), "scored")
+    for b in shipped:  # the scores are written, no task asks for the filter again
+        b.destroy()
     rest = each.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("g"), "x.times").join(words.where(F.col("level") < level).select("g", "c"), "g", "left")
     rest = rest.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_too"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + kinds + 1)))).alias("base_too"))
     return each.join(rest, "uid", "left").select(
