@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -361,22 +360,28 @@ class BoostedModel:
     def fit(self, train: DataFrame) -> BoostedModel:
         """Rows without target or with a NULL feature are left out here, and only here.
 
-        Vectors are rebalanced once, since every level of every tree reads them all.
+        Vectors are rebalanced once, since every level of every tree reads them all. Without a usable row there is
+        no model: forecasts are NULL and importances 0.
         """
         d = train.where(F.col(self.y).isNotNull() & self._complete())
         stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
         self.stats = stored(stats, "key-stats")
-        self.model = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params).fit(self._assemble(d).select("_v", self.y).hint("rebalance"))
+        vectors = self._assemble(d).select("_v", self.y)
+        learner = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params)
+        self.model = None if self.stats.isEmpty() else learner.fit(vectors.hint("rebalance"))
         return self
 
     def predict(self, df: DataFrame, out: str = "yhat") -> DataFrame:
         """Every row of ``df``; the forecast is NULL where a feature is."""
+        if self.model is None:
+            return df.withColumn(out, F.lit(None).cast("double"))
         d = self.model.transform(self._assemble(df))
         return d.withColumn(out, F.when(self._complete(), F.col("_p"))).drop("_v", "_p", "key_mean", "key_std")
 
     def importances(self, spark) -> DataFrame:
         """Feature importances, largest first."""
-        rows = sorted(zip(self.inputs, (float(v) for v in self.model.featureImportances.toArray())), key=lambda r: (-r[1], r[0]))
+        values = self.model.featureImportances.toArray() if self.model else np.zeros(len(self.inputs))
+        rows = sorted(zip(self.inputs, (float(v) for v in values)), key=lambda r: (-r[1], r[0]))
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:
@@ -422,7 +427,7 @@ def search_boosted(
 
     Usable rows are stored once, with their tile and their features as one vector; fold k trains on the tiles up to k
     and is tested on the next one, so no row is copied. ``parallel`` fits run side by side; the first of
-    equally good sets is the best.
+    equally good sets is the best. A set that some fold could not score has no mean.
     """
     spark = df.sparkSession
     whole = df.where(F.col(y).isNotNull() & BoostedModel(key, y, features)._complete())
@@ -432,11 +437,13 @@ def search_boosted(
     def one(job: tuple[int, int]) -> tuple[int, float]:
         i, fold = job
         m = BoostedModel(key, y, ["_f"], **grid[i]).fit(d.where(F.col("tile") <= fold))
-        return i, RegressionEvaluator(labelCol=y, predictionCol="yhat", metricName="rmse").evaluate(m.predict(d.where(F.col("tile") == fold + 1)))
+        error = F.col("yhat") - F.col(y)
+        return i, m.predict(d.where(F.col("tile") == fold + 1)).agg(F.sqrt(F.avg(error * error))).first()[0]
 
     with ThreadPool(parallel) as pool:
         scores = pool.map(inheritable_thread_target(spark)(one), [(i, f) for f in range(folds, 0, -1) for i in range(len(grid))], chunksize=1)
-    mean = {i: float(np.mean([r for j, r in scores if j == i])) for i in range(len(grid))}
-    best = min(mean, key=lambda i: (mean[i], i))
+    own = {i: [r for j, r in scores if j == i and r is not None] for i in range(len(grid))}
+    mean = {i: float(np.mean(v)) if len(v) == folds else None for i, v in own.items()}
+    best = min(mean, key=lambda i: (mean[i] is None, mean[i] or 0.0, i))
     rows = [(i, json.dumps(params, sort_keys=True), mean[i], folds, i == best) for i, params in enumerate(grid)]
     return spark.createDataFrame(rows, "candidate int, params string, mean_rmse double, n_folds int, best boolean"), BoostedModel(key, y, features, **grid[best]).fit(whole)

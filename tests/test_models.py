@@ -234,3 +234,12 @@ def test_sums_of_products_add_whole_arrays(spark):
     for k in ("hot", other, None):
         m = np.column_stack([np.ones(3000), x, y])[keys == (lost if k is None else k)]
         np.testing.assert_allclose(got[k], (m.T @ m)[np.triu_indices(6)], rtol=1e-10, atol=1e-10)
+
+
+def test_no_usable_row_gives_no_model(spark):
+    d = spark.createDataFrame([("a", dt.datetime(2024, 1, i), float(i), None) for i in range(1, 9)], f"{K} string, {T} timestamp_ntz, {W} double, x double")
+    m = models.BoostedModel(K, W, ["x"], trees=2).fit(d)
+    assert [r.yhat for r in m.predict(d).collect()] == [None] * 8
+    assert {r.importance for r in m.importances(spark).collect()} == {0.0}
+    found, best = models.search_boosted(d, K, T, W, ["x"], [{"trees": 2}, {"trees": 3}], folds=2)
+    assert [(r.mean_rmse, r.best) for r in found.orderBy("candidate").collect()] == [(None, True), (None, False)] and best.model is None
