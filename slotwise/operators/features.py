@@ -107,6 +107,16 @@ def one_hot_vector(df: DataFrame, col: str, out: str, fit_on: DataFrame | None =
     return model.transform(named(df)).drop("_c", "_i")
 
 
+def hot_place(vector: str) -> Column:
+    """0-based place of the one in a sparse one-hot vector, read from its stored index, so the cost does not grow with its size."""
+    return F.get(F.unwrap_udt(vector)["indices"], 0)
+
+
+def vector_size(vector: str) -> Column:
+    """Number of places of a sparse vector."""
+    return F.unwrap_udt(vector)["size"]
+
+
 def one_hot_columns(df: DataFrame, col: str, values: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
     """0/1 columns over the global categories; unknown values are 0 everywhere."""
     values = list(values) if values is not None else categories(df, col)

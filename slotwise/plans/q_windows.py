@@ -1,7 +1,6 @@
 """Window features, feature matrices, splits."""
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from slotwise.operators import evaluate, features, grid, split, windows
@@ -240,8 +239,7 @@ def fea5(t):
 def fea5_vector(t):
     """A vector place for every supplier seen in the fitted rows; the last place for the others."""
     d = features.one_hot_vector(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", "v", fit_on=t.lineitem.where("l_linenumber < 7"))
-    a = vector_to_array("v")
-    return d.select("l_orderkey", "l_linenumber", (F.array_position(a, 1.0) - 1).cast("int").alias("place"), F.size(a).alias("size"))
+    return d.select("l_orderkey", "l_linenumber", features.hot_place("v").alias("place"), features.vector_size("v").alias("size"))
 
 
 @query(

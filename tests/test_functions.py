@@ -95,3 +95,16 @@ def test_micros_know_no_time_zone(spark):
             assert (r.d, r.a, r.n, r.o) == (3_600_000_001, 1_711_848_600_000_000, None, -500_000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_places_of_one_hot_vectors_are_read_without_filling_them_up(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, 1 if i % 2 else 7, i // 2 * 2 + 1) for i in range(4000)] + [(4000, 7, 10**6), (4001, 1, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = entry.queries()["fea5_one_hot_vector"](spark, str(tmp_path))
+    place = {s: p for p, s in enumerate(sorted({str(s) for _, n, s in rows if n < 7 and s}))}
+    assert {(r.l_orderkey, r.l_linenumber): (r.place, r.size) for r in d.collect()} == {(o, n): (place.get(str(s), 2000), 2001) for o, n, s in rows}
+    text = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "unwrap_udt" in text.lower() or "unwrapudt" in text.lower(), text
+    assert "array_position" not in text
