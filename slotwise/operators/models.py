@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from slotwise.columns import attach, micros
 from slotwise.functions import calendar as cal
 from slotwise.operators.split import expanding_folds, tiles
-from slotwise.session import stored
+from slotwise.session import cut_lineage, stored
 
 
 def residual(df: DataFrame, y: str, pred: str, out: str = "residual") -> DataFrame:
@@ -360,15 +360,15 @@ class BoostedModel:
     def fit(self, train: DataFrame) -> BoostedModel:
         """Rows without target or with a NULL feature are left out here, and only here.
 
-        Vectors are rebalanced once, since every level of every tree reads them all. Without a usable row there is
-        no model: forecasts are NULL and importances 0.
+        Vectors are rebalanced and checkpointed once, since every level of every tree is a job that reads them all and
+        would carry the plan behind them. Without a usable row there is no model: forecasts are NULL and importances 0.
         """
         d = train.where(F.col(self.y).isNotNull() & self._complete())
         stats = d.groupBy(self.key).agg(F.avg(self.y).alias("key_mean"), F.coalesce(F.stddev_samp(self.y), F.lit(0.0)).alias("key_std"))
         self.stats = stored(stats, "key-stats")
         vectors = self._assemble(d).select("_v", self.y)
         learner = GBTRegressor(featuresCol="_v", labelCol=self.y, predictionCol="_p", **self.params)
-        self.model = None if self.stats.isEmpty() else learner.fit(vectors.hint("rebalance"))
+        self.model = None if self.stats.isEmpty() else learner.fit(cut_lineage(vectors.hint("rebalance")))
         return self
 
     def predict(self, df: DataFrame, out: str = "yhat") -> DataFrame:
@@ -426,8 +426,8 @@ def search_boosted(
     """``candidate, params, mean_rmse, n_folds, best`` of every parameter set over expanding windows, and the best set fitted on all rows.
 
     Usable rows are stored once, with their tile and their features as one vector; fold k trains on the tiles up to k
-    and is tested on the next one, so no row is copied. ``parallel`` fits run side by side; the first of
-    equally good sets is the best. A set that some fold could not score has no mean.
+    and is tested on the next one, so no row is copied. ``parallel`` fits run side by side, those with most levels
+    first; the first of equally good sets is the best. A set that some fold could not score has no mean.
     """
     spark = df.sparkSession
     whole = df.where(F.col(y).isNotNull() & BoostedModel(key, y, features)._complete())
@@ -440,8 +440,10 @@ def search_boosted(
         error = F.col("yhat") - F.col(y)
         return i, m.predict(d.where(F.col("tile") == fold + 1)).agg(F.sqrt(F.avg(error * error))).first()[0]
 
+    levels = [m["maxIter"] * m["maxDepth"] for m in (BoostedModel(key, y, features, **g).params for g in grid)]
+    jobs = sorted([(i, f) for f in range(folds, 0, -1) for i in range(len(grid))], key=lambda j: -levels[j[0]])
     with ThreadPool(parallel) as pool:
-        scores = pool.map(inheritable_thread_target(spark)(one), [(i, f) for f in range(folds, 0, -1) for i in range(len(grid))], chunksize=1)
+        scores = pool.map(inheritable_thread_target(spark)(one), jobs, chunksize=1)
     own = {i: [r for j, r in scores if j == i and r is not None] for i in range(len(grid))}
     mean = {i: float(np.mean(v)) if len(v) == folds else None for i, v in own.items()}
     best = min(mean, key=lambda i: (mean[i] is None, mean[i] or 0.0, i))

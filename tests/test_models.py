@@ -243,3 +243,26 @@ def test_no_usable_row_gives_no_model(spark):
     assert {r.importance for r in m.importances(spark).collect()} == {0.0}
     found, best = models.search_boosted(d, K, T, W, ["x"], [{"trees": 2}, {"trees": 3}], folds=2)
     assert [(r.mean_rmse, r.best) for r in found.orderBy("candidate").collect()] == [(None, True), (None, False)] and best.model is None
+
+
+def test_tree_jobs_do_not_carry_the_plan_of_their_vectors(spark, monkeypatch):
+    seen = []
+    fit = models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, d: seen.append(d) or fit(self, d))
+    d = spark.createDataFrame([("ab"[i % 2], float(i % 7), float(i)) for i in range(60)], "k string, y double, x double")
+    models.BoostedModel("k", "y", ["x"], trees=2, depth=2).fit(d)
+    (d,) = seen
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert d.count() == 60 and "ExistingRDD" in plan and not [w for w in ("Exchange", "Join", "Rebalance", "AQE") if w in plan]
+    assert spark.sparkContext.getCheckpointDir()  # else Spark does not cut the errors' lineage every ten trees either
+
+
+def test_search_starts_the_longest_fits_first(spark, monkeypatch):
+    begun = []
+    fit = models.BoostedModel.fit
+    monkeypatch.setattr(models.BoostedModel, "fit", lambda self, d: begun.append(self.params["maxIter"] * self.params["maxDepth"]) or fit(self, d))
+    d = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, i), float(i % 5), float(i)) for i in range(24)], f"{K} string, {T} timestamp_ntz, {W} double, x double")
+    grid = [{"trees": 1, "depth": 1}, {"trees": 2, "depth": 3}, {"trees": 2, "depth": 1}]
+    found, _ = models.search_boosted(d, K, T, W, ["x"], grid, folds=2, parallel=1)
+    assert begun[:6] == [6, 6, 2, 2, 1, 1]
+    assert [(r.candidate, r.n_folds) for r in found.orderBy("candidate").collect() if r.mean_rmse is not None] == [(0, 2), (1, 2), (2, 2)]
